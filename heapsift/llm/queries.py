@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+import public_tokenizers
+
+from . import bpe, decontaminate, simhash, toxicity
 from .common import table
 
 
@@ -10,7 +12,19 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+def op4_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op9_simhash, op10_toxicity)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
