@@ -21,6 +21,8 @@ import xxhash
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import modest_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 #: Pre-tokens that a worker remembers with their ids, and the longest of them in characters.
@@ -155,6 +157,7 @@ def load(spark: SparkSession, path: str, pattern: str) -> Broadcast:
         data = f.read()
     if len(data) > 64 << 20:
         raise ValueError(f"{path} is too large to broadcast")
+    modest_batches(spark)
     return spark.sparkContext.broadcast(Codec(read_ranks(data), pattern))
 
 

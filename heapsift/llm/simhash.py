@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, modest_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -49,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
+    modest_batches(documents.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:

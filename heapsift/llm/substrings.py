@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, modest_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -94,6 +94,7 @@ def repeats(group: np.ndarray, doc: np.ndarray, codes: list[np.ndarray]) -> tupl
 
 def removals(documents: DataFrame) -> DataFrame:
     """Windows to remove, as (doc_id, tid, at, n): n windows from word at on; tid tells rows of one doc_id apart."""
+    modest_batches(documents.sparkSession)
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tid"), "text")
 
     def census(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 #: Labelled rows that are learned from, at most: those of the least hashes of doc_id. The bound of the training sample.
@@ -119,6 +121,7 @@ def logistic(rows: list[np.ndarray], targets: np.ndarray, n: int, rounds: int =
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most about sample labelled rows that aren't held out. What comes to the driver: FEATURES features with their counts, and of each of those rows which of these it holds."""
+    modest_batches(documents.sparkSession)
     rows = training_rows(documents, labels, sample).persist()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
