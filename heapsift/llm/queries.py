@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, neighbours, simhash, substrings, toxicity
+from . import bpe, decontaminate, licenses, neighbours, simhash, substrings, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_licenses(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark, sf_dir):
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
@@ -32,7 +36,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op6_neighbours, op8_substrings, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op5_licenses, op6_neighbours, op8_substrings, op9_simhash, op10_toxicity)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
