@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, licenses, neighbours, simhash, substrings, toxicity
+from . import bpe, decontaminate, licenses, lines, neighbours, simhash, substrings, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lines(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -36,7 +40,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_bpe, op5_licenses, op6_neighbours, op8_substrings, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_lines, op4_bpe, op5_licenses, op6_neighbours, op8_substrings, op9_simhash, op10_toxicity)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
