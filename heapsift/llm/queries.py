@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, licenses, lines, neighbours, simhash, substrings, toxicity
+from . import bpe, decontaminate, licenses, lines, neighbours, quality, simhash, substrings, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +32,10 @@ def op6_neighbours(spark, sf_dir):
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substrings(spark, sf_dir):
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -40,11 +48,12 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_lines, op4_bpe, op5_licenses, op6_neighbours, op8_substrings, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_lines, op4_bpe, op5_licenses, op6_neighbours, op7_quality, op8_substrings, op9_simhash, op10_toxicity)}
 
 _WORDS = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op2_decontaminate": f"""
 with d as (select doc_id, {_WORDS.format("text")} w from documents),
 i as (select item_id, {_WORDS.format("text")} w from benchmark),
