@@ -241,9 +241,9 @@ def stale_loaders(spark, sf):
 
 
 def strings(spark, sf):
-    """Documents as strings: each row one, its text the array behind it, one for each 16 ids so that arrays are shared."""
+    """Documents as strings, each with an array of its own behind it."""
     d = read(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("obj"), F.col("doc_id").alias("array"), "text", (24 + X.F.ceil((F.octet_length("text") + 16) / 8) * 8).cast("long").alias("bytes"))
+    return d.select(F.col("doc_id").alias("obj"), F.col("doc_id").alias("array"), "text", (24 + F.ceil((F.octet_length("text") + 16) / 8) * 8).cast("long").alias("bytes"))
 
 
 @query("""with s as (select doc_id, text, 24 + ((strlen(text) + 16 + 7) // 8) * 8 bytes from documents)
