@@ -94,11 +94,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     doc_id is null, and null texts. Rows of one doc_id each keep the line that is that document's. Columns are those of documents; an n_chars
     that is there isn't changed. Lines are told apart by a 64-bit hash.
     """
-    docs = documents.withColumn("_tid", F.xxhash64("text"))
-    cuts = removals(documents).select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_cut"), "gone")
-    docs = docs.join(cuts, (F.col("doc_id") == F.col("_doc")) & (F.col("_tid") == F.col("_cut")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return docs.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
+    docs = documents.withColumn("_lines_tid", F.xxhash64("text"))
+    cuts = removals(documents).select(F.col("doc_id").alias("_lines_doc"), F.col("tid").alias("_lines_cut"), F.col("gone").alias("_lines_gone"))
+    docs = docs.join(cuts, (F.col("doc_id") == F.col("_lines_doc")) & (F.col("_lines_tid") == F.col("_lines_cut")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines_gone", i)), "\n")
+    return docs.withColumn("text", F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:

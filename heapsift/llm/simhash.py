@@ -114,6 +114,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
         held = None
         for part in batches:
+            if part.empty:
+                continue
             part = part if held is None else pd.concat([held, part], ignore_index=True)
             last = part[["key", "i", "j"]].iloc[-1]
             open_ = (part["key"] == last["key"]) & (part["i"] == last["i"]) & (part["j"] == last["j"])

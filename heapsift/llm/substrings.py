@@ -138,6 +138,8 @@ def removals(documents: DataFrame) -> DataFrame:
 
         held = []
         for part in batches:
+            if part.empty:
+                continue
             last = part["prefix"].iloc[-1]
             open_ = (part["prefix"] == last).to_numpy()
             if open_.all() and held and held[-1]["prefix"].iloc[-1] == last:
