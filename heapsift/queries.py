@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import contents, graph, loaders, summary
+from .operators import contents, fields, graph, loaders, summary
 from .oracles import TABLES, TREE, grouped
-from .plans.tables import HeapTables
+from .plans.heap import Heap
 from .sources import relational
 from .sources.relational import SCALE, read
 
@@ -18,27 +16,6 @@ _HEAPS: dict = {}
 _UNTIL = "1996-01-01"
 
 
-@dataclass
-class Heap:
-    """A heap's tables, and what its first use works out and later ones find: reachability and dominators."""
-
-    tables: HeapTables
-    _reached: DataFrame | None = None
-    _tree: DataFrame | None = None
-
-    @property
-    def reached(self) -> DataFrame:
-        if self._reached is None:
-            self._reached = graph.reach(self.tables.edges, self.tables.roots)
-        return self._reached
-
-    @property
-    def tree(self) -> DataFrame:
-        if self._tree is None:
-            self._tree = graph.dominator_tree(self.tables, self.reached)
-        return self._tree
-
-
 def heap(spark: SparkSession, sf_dir: str, **options) -> Heap:
     """One loaded heap for each session, folder and options, as a session with a dump is used for many questions."""
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
@@ -328,3 +305,43 @@ def human_sizes(spark, sf):
 @query("""select doc_id, replace(replace(replace(left(text, 80), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || case when length(text) > 80 then '…' else '' end preview from documents""")
 def text_previews(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.preview(F.col("text"), 80).alias("preview"))
+
+
+# Roots, references, threads, ancestry
+
+
+@query("select 'system class' kind, count(*) records, count(distinct r_regionkey) objects from region")
+def root_kinds(spark, sf):
+    return fields.root_kinds(heap(spark, sf).tables.roots)
+
+
+@query("select 'weak' ref_kind, count(*) refs, count(distinct s_suppkey) referents, 'trade.Supplier:' || count(*) top_classes from supplier")
+def references_by_kind(spark, sf):
+    h = heap(spark, sf, weak_suppliers=True)
+    return fields.references_by_kind(h.tables, h.reached)
+
+
+@query(f"""with recursive {TREE} select n_regionkey::bigint thread_serial, count(*) locals, 0::bigint pinned from nation group by n_regionkey""")
+def stack_locals(spark, sf):
+    h = heap(spark, sf)
+    frames = read(spark, sf, "nation").select(relational.ident(2, F.col("n_nationkey")).alias("obj"), F.lit("Java frame").alias("kind"), F.col("n_regionkey").cast("long").alias("thread_serial"))
+    return fields.stack_locals(h.tables, frames.union(frames), h.tree)
+
+
+@query(f"select {SCALE} + n_regionkey src, min({2 * SCALE} + n_nationkey) dst from nation group by n_regionkey")
+def first_fields(spark, sf):
+    return fields.field(heap(spark, sf).tables.edges, "nations")
+
+
+@query("""with recursive c as (select p_partkey class_id, case when p_partkey > 1 then p_partkey // 3 end super_id from part), a as (select class_id, class_id ancestor, 0 depth from c
+ union all select a.class_id, super_id, depth + 1 from a join c on c.class_id = a.ancestor where super_id is not null and super_id > 0) select class_id, ancestor, depth from a""")
+def class_ancestors(spark, sf):
+    up = F.floor(F.col("p_partkey") / 3).cast("long")
+    return fields.ancestors(read(spark, sf, "part").select(F.col("p_partkey").alias("class_id"), F.when((F.col("p_partkey") > 1) & (up > 0), up).alias("super_id")))
+
+
+@query()
+def report_json(spark, sf):
+    from .plans.report import View, as_json
+
+    return spark.createDataFrame([(as_json(heap(spark, sf), View()),)], "report string")
