@@ -1,7 +1,7 @@
 """Reachability, paths, weakly held objects, dominators and retained sizes: recursive jobs over the edges.
 
 Each round handles a frontier only, joins it with the edges by key and cuts its lineage, so a lost executor costs one round. Rounds follow
-the depth of the graph.
+the depth of the graph; a deep graph that one task can hold is handed over to one (see kernel).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import ROOT, HeapTables, checkpointed
+from . import kernel
 
 
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
@@ -32,6 +33,8 @@ def reach(edges: DataFrame, roots: DataFrame, blocked: DataFrame | None = None,
     frontier = checkpointed(_ordered(roots.select("obj").where("obj is not null").distinct(), "obj").select("obj", none.alias("parent"), F.lit(0).alias("level"), "pos"))
     seen, parts = frontier.select("obj"), [frontier]
     for level in range(1, max_levels + 1):
+        if level == kernel.DEEP and kernel.fits(edges):
+            return checkpointed(kernel.solve(edges, roots.select("obj").where("obj is not null").distinct(), chains=False))
         found = edges.join(frontier.select(F.col("obj").alias("src"), "pos"), "src").groupBy(F.col("dst").alias("obj")).agg(F.min(F.struct("pos", "ord", "src")).alias("x"))
         found = found.join(seen, "obj", "left_anti").select("obj", "x.pos", "x.ord", F.col("x.src").alias("parent"))
         frontier = checkpointed(_ordered(found.withColumnRenamed("pos", "at"), "at", "ord", "obj").select("obj", "parent", F.lit(level).alias("level"), "pos"))
@@ -95,6 +98,8 @@ def dominators(edges: DataFrame, roots: DataFrame, reached: DataFrame, max_round
     top = roots.select("obj").distinct().join(reached.select("obj"), "obj", "left_semi")
     live = edges.select("src", "dst").where("src != dst").join(reached.select(F.col("obj").alias("src")), "src", "left_semi").join(top.withColumnRenamed("obj", "dst"), "dst", "left_anti").distinct()
     live = checkpointed(live)
+    if (reached.agg(F.max("level")).first()[0] or 0) >= kernel.DEEP - 1 and kernel.fits(live):
+        return checkpointed(kernel.solve(live.withColumn("ord", F.lit(0).cast("long")), top, chains=True))
     state = checkpointed(top.select("obj", F.array("obj").alias("doms")))
     changed = state.select("obj")
     for _ in range(max_rounds):

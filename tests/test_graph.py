@@ -84,3 +84,10 @@ def test_children_and_blocked_edges(spark):
     blocked = spark.createDataFrame([(8, 24)], "src long, dst long")
     assert {r["obj"] // 8 - 1 for r in graph.reach(t.edges, t.roots, blocked).collect()} == {0, 1, 3, 4, 5}
     assert graph.k_paths(t.edges, t.roots, 56, 3) == [[8, 24, 56]]
+
+
+def test_deep_graphs_in_one_task(spark):
+    n = 300
+    check(spark, [[i + 1] if i + 1 < n else [] for i in range(n)], [0])
+    rng = random.Random(6)
+    check(spark, [[i + 1 if i + 1 < 60 else 0, *(rng.randrange(60) for _ in range(i % 10 // 8))] for i in range(60)], [0, 40])
