@@ -8,7 +8,7 @@ sets' shingles each is equally likely to be it.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components
@@ -43,16 +43,13 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def candidates(bands: DataFrame) -> DataFrame:
     """Pairs a < b of lines to compare. A bucket's members are never paired with each other beyond PAIRED of them; then each meets those lines that are least under REPRESENTATIVES orders, other ones in each band."""
-    dealt = bands.repartition("key")
-    orders = [F.lit(constant(f"order {i}")) for i in range(REPRESENTATIVES)]
-    chosen = dealt.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.xxhash64("key", "h").bitwiseXOR(o)).alias(f"r{i}") for i, o in enumerate(orders)]).where("n > 1")
-    members = dealt.join(chosen, "key").withColumn("order", F.xxhash64("key", "h"))
-    large = members.where(F.col("n") > PAIRED)
-    heads = large.where(F.coalesce(*[F.when(F.col("order").bitwiseXOR(o) == F.col(f"r{i}"), True) for i, o in enumerate(orders)], F.lit(False)))
-    heads = heads.groupBy("key").agg(F.collect_set("h").alias("heads"))  # REPRESENTATIVES at most
-    star = large.join(heads, "key").select("h", F.explode("heads").alias("g"))
-    small = members.where(F.col("n") <= PAIRED).select("key", "h")
-    pairs = small.join(small.withColumnRenamed("h", "g"), "key").select("h", "g")
+    by, order = Window.partitionBy("key"), F.xxhash64("key", "h")
+    # Windows rather than aggregates joined back, so that the signatures are worked out and dealt once; a window over many rows spills.
+    heads = [F.min(F.struct(order.bitwiseXOR(F.lit(constant(f"order {i}"))).alias("o"), "h")).over(by)["h"] for i in range(REPRESENTATIVES)]
+    members = bands.select("key", "h").withColumn("n", F.count("*").over(by)).withColumn("heads", F.array(*heads)).where("n > 1")
+    star = members.where(F.col("n") > PAIRED).select("h", F.explode("heads").alias("g"))
+    small = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("h").alias("hs"))  # PAIRED at most
+    pairs = small.select("hs", F.posexplode("hs").alias("i", "h")).select("h", F.explode(F.slice("hs", F.col("i") + 2, F.lit(PAIRED))).alias("g"))
     both = star.union(pairs).where("h != g")
     return both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
 
@@ -62,9 +59,10 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     both = both.select("a", "b", F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y"))
     sets = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(c) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(F.col(c), 2 * i + 1, F.lit(2 * SHINGLE)))))
-    both = both.select("a", "b", sets("x").alias("s"), sets("y").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= SIMILAR * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    # As lambdas over one element, so that sets and counts are worked out once however often they are used.
+    one = F.array(F.struct(sets("x").alias("s"), sets("y").alias("t")))
+    counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
+    return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
