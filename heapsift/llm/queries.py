@@ -52,7 +52,32 @@ QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_lines, op4_b
 
 _WORDS = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {phrase}, '{text}')" for i, (label, phrase, text) in enumerate([(x, "true", p) for p, x in licenses.PHRASES.items()] + [(x, "false", t) for x, t in licenses.TEMPLATES]))
+
 ORACLES = {
+    "op5_licenses": f"""
+with d as (select doc_id, {_WORDS.format("text")} w from documents),
+t as (select tid, label, phrase, {_WORDS.format("body")} w from (values {_TEMPLATES}) v(tid, label, phrase, body)),
+g as (select tid, label, phrase, p - 1 as place, case when phrase then len(w) else {licenses.K} end k, case when phrase then 1 else len(w) - {licenses.K - 1} end total,
+ array_to_string(case when phrase then w else w[p:p + {licenses.K - 1}] end, ' ') gram from t, unnest(range(1, case when phrase then 2 else len(w) - {licenses.K - 2} end)) u(p)),
+x as (select doc_id, k, p - 1 as pos, array_to_string(w[p:p + k - 1], ' ') gram from d, (select distinct k from g), unnest(range(1, len(w) - k + 2)) u(p)),
+hit as (select doc_id, tid, label, phrase, total, pos, place, pos - place diagonal from x join g using (k, gram)),
+v as (select distinct doc_id, tid, phrase, diagonal from hit),
+f as (select *, case when phrase or diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= {licenses.GAP} is not true then 1 else 0 end fresh from v),
+sp as (select doc_id, tid, diagonal, sum(fresh) over (partition by doc_id, tid order by diagonal) span from f),
+m as (select doc_id, tid, span, any_value(label) label, any_value(phrase) phrase, min(pos) lo, count(distinct place) / any_value(total) share from hit join sp using (doc_id, tid, diagonal) group by all),
+b as (select doc_id, count(*) filter (phrase) n_base, min(lo) filter (phrase) first_word, max(lo) filter (phrase) last_word, string_agg(distinct label, ',' order by label) filter (phrase) base_labels,
+ string_agg(distinct label, ',' order by label) filter (phrase or share >= {licenses.SHARE}) labels, max(least(share, 1.0)) filter (phrase or share >= {licenses.SHARE}) score from m group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::double score
+from d left join b using (doc_id)""",
+    "op8_substrings": r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+x as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) g from d, unnest(range(1, len(w) - 48)) u(p)),
+m as (select g, min(doc_id) least_id from x group by g),
+c as (select distinct doc_id, q from x join m using (g), unnest(range(p, p + 50)) u(q) where doc_id > least_id),
+k as (select doc_id, p, w[p] word from d, unnest(range(1, len(w) + 1)) u(p)),
+s as (select k.doc_id, string_agg(word, ' ' order by p) kept, count(*) n from k left join c on c.doc_id = k.doc_id and c.q = k.p where c.q is null group by k.doc_id)
+select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join s using (doc_id)""",
     "op1_warc": warc.ORACLE,
     "op2_decontaminate": f"""
 with d as (select doc_id, {_WORDS.format("text")} w from documents),
