@@ -57,10 +57,10 @@ def candidates(bands: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y"))
-    sets = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(c) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(F.col(c), 2 * i + 1, F.lit(2 * SHINGLE)))))
-    # As lambdas over one element, so that sets and counts are worked out once however often they are used.
-    one = F.array(F.struct(sets("x").alias("s"), sets("y").alias("t")))
+    sets = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(c) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(c, 2 * i + 1, F.lit(2 * SHINGLE)))))
+    # As lambdas over one element, so that units, sets and counts are each worked out once however often they are used.
+    units = F.array(F.struct(F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y")))
+    one = F.transform(units, lambda e: F.struct(sets(e["x"]).alias("s"), sets(e["y"]).alias("t")))
     counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
     return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
