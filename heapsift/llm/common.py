@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get this many rows at a time, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -50,6 +57,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     skew join. Self-links and nulls are no edges. Ends after a number of rounds that grows with the logarithm of the largest component.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    release(edges.sparkSession)  # what made the edges is done with
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))

@@ -65,10 +65,15 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
 
+def links(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hashes of similar lines."""
+    distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
+    return similar(candidates(signatures(distinct)), distinct)
+
+
 def line_groups(lines: DataFrame) -> DataFrame:
     """For each line that occurs more than once, in equal or similar form: h, root (the group's), keeper (the least doc_id that holds one of the group)."""
-    distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
-    roots = components(similar(candidates(signatures(distinct)), distinct))
+    roots = components(links(lines))
     own = lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     own = own.join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "least", "n")
     groups = own.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("all")).where(F.col("all") > 1)
