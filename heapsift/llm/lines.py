@@ -8,16 +8,18 @@ sets' shingles each is equally likely to be it.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, release
 
 SHINGLE, SIMILAR = 10, 0.8
 #: Rows of a band and bands: a pair of similarity 0.8 shares a band with probability 0.985, one of 0.9 with 0.9999.
 ROWS, BANDS = 4, 8
-#: Lines of a bucket that are all compared with each other; in a larger one each is compared with REPRESENTATIVES lines.
+#: Lines of a bucket that are all compared with each other at once; in a larger one each is first compared with REPRESENTATIVES lines.
 PAIRED, REPRESENTATIVES = 16, 4
+#: Shingles of the lines of a large bucket's chunk; each pair of chunks is compared as one row.
+CHUNK = 1 << 14
 
 
 def constant(name: str) -> int:
@@ -41,12 +43,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.select("h", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + i}") for i in range(ROWS)]) for b in range(BANDS)])).alias("key"))
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Pairs a < b of lines to compare. A bucket's members are never paired with each other beyond PAIRED of them; then each meets those lines that are least under REPRESENTATIVES orders, other ones in each band."""
+def bucketed(bands: DataFrame) -> DataFrame:
+    """key, h and n, the number of the bucket's members, of buckets of several; and heads, the members that are least under REPRESENTATIVES orders, other ones in each band."""
     by, order = Window.partitionBy("key"), F.xxhash64("key", "h")
     # Windows rather than aggregates joined back, so that the signatures are worked out and dealt once; a window over many rows spills.
     heads = [F.min(F.struct(order.bitwiseXOR(F.lit(constant(f"order {i}"))).alias("o"), "h")).over(by)["h"] for i in range(REPRESENTATIVES)]
-    members = bands.select("key", "h").withColumn("n", F.count("*").over(by)).withColumn("heads", F.array(*heads)).where("n > 1")
+    return bands.select("key", "h").withColumn("n", F.count("*").over(by)).withColumn("heads", F.array(*heads)).where("n > 1")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs a < b of lines to compare first: all of a bucket of PAIRED members at most, in a larger one each with the heads. across() compares what these leave apart."""
     star = members.where(F.col("n") > PAIRED).select("h", F.explode("heads").alias("g"))
     small = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("h").alias("hs"))  # PAIRED at most
     pairs = small.select("hs", F.posexplode("hs").alias("i", "h")).select("h", F.explode(F.slice("hs", F.col("i") + 2, F.lit(PAIRED))).alias("g"))
@@ -54,26 +60,78 @@ def candidates(bands: DataFrame) -> DataFrame:
     return both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
 
 
+def shingles(units: str | Column) -> Column:
+    """The distinct hashes of the shingles of a line of SHINGLE characters or more, encoded at two bytes a unit."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
+
+
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    sets = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(c) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(c, 2 * i + 1, F.lit(2 * SHINGLE)))))
     # As lambdas over one element, so that units, sets and counts are each worked out once however often they are used.
     units = F.array(F.struct(F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y")))
-    one = F.transform(units, lambda e: F.struct(sets(e["x"]).alias("s"), sets(e["y"]).alias("t")))
+    one = F.transform(units, lambda e: F.struct(shingles(e["x"]).alias("s"), shingles(e["y"]).alias("t")))
     counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
     return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hashes of similar lines."""
+def parity(s: Column) -> Column:
+    """Four longs of bits, each the parity of the hashes that fall on it: two sets differ in at least as many elements as these differ in bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    lane = lambda k: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, acc.bitwiseXOR(bit(x))).otherwise(acc))
+    return F.array(*[lane(k) for k in range(4)])
+
+
+def across(large: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar lines of one large bucket (key, h) that roots leaves in different groups: every such pair is compared, in pairs of chunks.
+
+    Of a pair that shares several buckets the least key's compares it. A pair is dropped unseen only where it can't be similar: by the sizes
+    of its sets, or by bits that are never more than the elements in which they differ.
+    """
+    of = large.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    mixed = of.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
+    of = checkpointed(of.join(mixed, "key").groupBy("h", "root").agg(F.sort_array(F.collect_set("key")).alias("keys")))  # BANDS keys at most
+    texts = lines.join(of.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    sets = texts.select("h", shingles(F.encode("line", "UTF-16BE")).alias("s"))
+    rows = checkpointed(of.join(sets, "h").select("h", "root", "keys", "s", parity(F.col("s")).alias("bits")))
+    keyed = rows.select(F.explode("keys").alias("key"), "h", "root", "keys", "s", "bits")
+    sizes = keyed.groupBy("key").agg(F.least(F.ceil(F.sum(F.size("s")) / CHUNK), F.count("*")).cast("int").alias("chunks"))
+    keyed = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("chunks").cast("long")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    line = F.struct("h", "root", "keys", "s", "bits", "own")
+    dealt = keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
+    # Each chunk meets itself as (i, i) and every other one once.
+    blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
+
+    def alike(x: Column, y: Column) -> Column:
+        both = F.size(x["s"]) + F.size(y["s"])
+        apart = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(4)), F.lit(0))
+        shared = lambda c: F.size(F.array_intersect(x[c], y[c]))
+        # Similarity s of sets of n elements together: s (n - shared) <= shared, so they differ in n (1 - s) / (1 + s) at most.
+        may = (x["root"] != y["root"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & (apart * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6)
+        may &= F.least(F.size(x["s"]), F.size(y["s"])) >= SIMILAR * F.greatest(F.size(x["s"]), F.size(y["s"])) - 1e-6
+        return (x["h"] < y["h"]) & may & (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")) & (shared("s") >= SIMILAR * (both - shared("s")))
+
+    pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: alike(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
+    return blocks.select(F.inline(pairs))
+
+
+def linked(lines: DataFrame) -> DataFrame:
+    """node and root of each line that is linked to another: the groups that all similar pairs of lines that share a band hold together."""
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
-    return similar(candidates(signatures(distinct)), distinct)
+    members = bucketed(signatures(distinct))
+    # One job, so that the signatures are worked out once: the similar pairs, and the large buckets for what is left apart.
+    near = similar(candidates(members), distinct).select("a", "b", F.lit(True).alias("near"))
+    found = checkpointed(near.union(members.where(F.col("n") > PAIRED).select("key", "h", F.lit(False))))
+    release(lines.sparkSession)
+    roots = components(found.where("near"))
+    rest = checkpointed(across(found.where("not near").select(F.col("a").alias("key"), F.col("b").alias("h")), roots, lines))
+    return roots if rest.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """For each line that occurs more than once, in equal or similar form: h, root (the group's), keeper (the least doc_id that holds one of the group)."""
-    roots = components(links(lines))
+    roots = linked(lines)
     own = lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     own = own.join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "least", "n")
     groups = own.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("all")).where(F.col("all") > 1)

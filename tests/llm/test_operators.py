@@ -188,6 +188,28 @@ def test_lines(rows, documents):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("chunk", [lines.CHUNK, 1000])
+def test_lines_of_one_template(spark, monkeypatch, chunk):
+    """Hundreds of lines of one template, too far apart to be similar, and a twin of some of them: each link is between two lines of one large bucket."""
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    template = own(80)
+    texts = [template + own(24) for _ in range(400)]
+    texts += [t[:-3] + own(3) for t in texts[:100]]
+    sets = [{t[i : i + 10] for i in range(len(t) - 9)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    assert 300 < len(set(root)) <= 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in lines.deduplicated(docs).collect() if r["text"]}
+    assert kept == set(root)
+
+
 def test_licenses(rows, documents):
     want = set()
     for doc, text, *_ in rows[0]:
