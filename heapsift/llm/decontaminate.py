@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, items (sorted array of the ids whose windows occur), spans (sorted array of disjoint struct<start, len> of the words hit).
+    """A row for each document: doc_id, id and chars (the text's hash and length), n_words, n_hit, items (sorted array of the ids whose windows occur), spans (sorted array of disjoint struct<start, len> of the words hit).
 
     Null texts have no words. Rows that are equal in doc_id and text give one row together. Of other
     columns none is used. The document side is read once and its windows never leave the map task but where they hit.
@@ -77,13 +77,14 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_
         F.when(x["start"] + x["len"] > a["end"], F.concat(a["out"], F.array(F.struct(F.greatest(x["start"], a["end"]).alias("start"), (x["start"] + x["len"] - F.greatest(x["start"], a["end"])).alias("len"))))).otherwise(a["out"]).alias("out"),
     )
     per = per.withColumn("spans", F.aggregate("raw", step, add, lambda a: a["out"]))
-    return per.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["len"]).alias("n_hit"), "items", "spans")
+    return per.select("doc_id", "id", "chars", F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["len"]).alias("n_hit"), "items", "spans")
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """documents without the rows in which a window of the benchmark occurs. Rows with a null doc_id are judged like others."""
-    bad = scan(documents, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """documents without the rows in which a window of the benchmark occurs. Each row is judged by its own text, also where its doc_id is null or another row's."""
+    bad = scan(documents, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_bad"), F.col("id").alias("_bad_id"), F.col("chars").alias("_bad_chars"))
+    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_id")) & (F.length("text") == F.col("_bad_chars"))
+    return documents.join(bad, same, "left_anti")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -83,6 +83,13 @@ def test_decontaminate(rows, documents, benchmark):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {None, *range(18)} - {5, 10, 11}
 
 
+def test_clean_documents_judges_each_row(spark, rows, benchmark):
+    hit = f"before it {rows[1]} after it"
+    docs = spark.createDataFrame([(None, hit), (None, "a clean text"), (None, None), (1, hit), (1, "another clean text"), (1, hit), (2, "clean")], "doc_id long, text string")
+    kept = [tuple(r) for r in decontaminate.clean_documents(docs, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a clean text"), (None, None), (1, "another clean text"), (2, "clean")], key=str)
+
+
 def test_bpe(rows, documents):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(open(path, "rb").read()))}
