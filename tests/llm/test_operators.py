@@ -264,6 +264,16 @@ def test_classifiers(spark, module, label, word):
     assert module.report(docs, marks.limit(0)).select("score").distinct().count() == 1
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    """Each unlabelled document has a word of its own, which only pseudo-labels can teach: with a small sample of labels all of them count still."""
+    rng = random.Random(6)
+    body = lambda i: " ".join(rng.choice(("la", "mo", "ni", "pu")) for _ in range(20)) + (" fine" if i % 2 else " poor") + (f" own{i}" if i >= 300 else "")
+    docs = spark.createDataFrame([(i, body(i), "en", f"s{i % 2}", 50) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    model = quality.train(docs, marks, sample=150)
+    assert all(model.text[0][quality.bucket(f"w own{i}", quality.TEXT)] != 0 for i in range(300, 900))
+
+
 def test_warc(spark):
     rows = [
         (1, "HTTP://A.example:80/x?b=2&utm_source=q&a=1#f", 10, "response", 200, {"etag": '"1"', "content-length": "5", "date": "d1"}),
