@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,18 +29,24 @@ def words(text: Column, pattern: str) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names; a folder of our own only where it names none."""
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names; where it names none, in a temporary folder if the master is local, else an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heapsift-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
 
 
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -57,7 +62,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     skew join. Self-links and nulls are no edges. Ends after a number of rounds that grows with the logarithm of the largest component.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    release(edges.sparkSession)  # what made the edges is done with
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))

@@ -1,8 +1,11 @@
 """Line dedup with fuzzy lines: MinHash signatures of character shingles, banding, exact Jaccard similarity, union of what is similar.
 
-Characters are UTF-16 units. Each line is encoded at two bytes a unit, so that a shingle is cut out in constant time. All hash functions of
-the signature are one 64-bit hash xored with different constants: the least value is that of the shingle nearest to a constant, and of two
-sets' shingles each is equally likely to be it.
+Each line is encoded at four bytes a character, so that a shingle is cut out in constant time. All hash functions of the signature are one
+64-bit hash xored with different constants: the least value is that of the shingle nearest to a constant, and of two sets' shingles each is
+equally likely to be it.
+
+Every pair of lines that shares a band is compared, or holds together already when its turn comes: small buckets give their pairs; of a
+large one each line first meets a few heads, and the pairs that this leaves in different groups are compared in blocks.
 """
 
 from __future__ import annotations
@@ -11,14 +14,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, release
+from .common import checkpointed, components, fresh
 
 SHINGLE, SIMILAR = 10, 0.8
-#: Rows of a band and bands: a pair of similarity 0.8 shares a band with probability 0.985, one of 0.9 with 0.9999.
-ROWS, BANDS = 4, 8
+#: Rows of a band and bands: a pair of similarity 0.8 shares a band with probability 0.986, one of 0.9 with 0.9996.
+ROWS, BANDS = 3, 6
+#: Shingles that are hashed as one row.
+STRIDE = 4
 #: Lines of a bucket that are all compared with each other at once; in a larger one each is first compared with REPRESENTATIVES lines.
-PAIRED, REPRESENTATIVES = 16, 4
-#: Shingles of the lines of a large bucket's chunk; each pair of chunks is compared as one row.
+PAIRED, REPRESENTATIVES = 16, 2
+#: Characters of the lines of a large bucket's chunk; each pair of chunks is compared as one row.
 CHUNK = 1 << 14
 
 
@@ -36,18 +41,21 @@ def split_lines(documents: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """h and the bands' keys of each line (h, line) of SHINGLE characters or more."""
-    rows = lines.select("h", F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.length("units") / 2 - SHINGLE).where("last >= 0")
-    rows = rows.select("h", "units", F.explode_outer(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("at"))
-    rows = rows.select("h", F.xxhash64(F.substring("units", 2 * F.col("at") + 1, F.lit(2 * SHINGLE))).alias("x"))
-    least = rows.groupBy("h").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(constant(f"min {i}")))).alias(f"m{i}") for i in range(ROWS * BANDS)])
+    rows = lines.select("h", F.encode("line", "UTF-32").alias("units")).withColumn("last", (F.length("units") / 4 - SHINGLE).cast("int")).where("last >= 0")
+    rows = rows.select("h", "units", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
+    # Past the end the last shingle comes again, which changes no minimum.
+    shingle = lambda j: F.substring("units", 4 * F.least(F.col("at") + j, F.col("last")) + 1, F.lit(4 * SHINGLE))
+    rows = rows.select("h", *[F.xxhash64(shingle(j)).alias(f"x{j}") for j in range(STRIDE)])
+    near = lambda i: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(constant(f"min {i}"))) for j in range(STRIDE)])
+    least = rows.groupBy("h").agg(*[F.min(near(i)).alias(f"m{i}") for i in range(ROWS * BANDS)])
     return least.select("h", F.explode(F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + i}") for i in range(ROWS)]) for b in range(BANDS)])).alias("key"))
 
 
 def bucketed(bands: DataFrame) -> DataFrame:
-    """key, h and n, the number of the bucket's members, of buckets of several; and heads, the members that are least under REPRESENTATIVES orders, other ones in each band."""
-    by, order = Window.partitionBy("key"), F.xxhash64("key", "h")
+    """key, h and n, the number of the bucket's members, of buckets of several; and heads, the members that are least under REPRESENTATIVES orders that all buckets share."""
+    by = Window.partitionBy("key")
     # Windows rather than aggregates joined back, so that the signatures are worked out and dealt once; a window over many rows spills.
-    heads = [F.min(F.struct(order.bitwiseXOR(F.lit(constant(f"order {i}"))).alias("o"), "h")).over(by)["h"] for i in range(REPRESENTATIVES)]
+    heads = [F.min(F.struct(F.col("h").bitwiseXOR(F.lit(constant(f"order {i}"))).alias("o"), "h")).over(by)["h"] for i in range(REPRESENTATIVES)]
     return bands.select("key", "h").withColumn("n", F.count("*").over(by)).withColumn("heads", F.array(*heads)).where("n > 1")
 
 
@@ -60,19 +68,23 @@ def candidates(members: DataFrame) -> DataFrame:
     return both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
 
 
-def shingles(units: str | Column) -> Column:
-    """The distinct hashes of the shingles of a line of SHINGLE characters or more, encoded at two bytes a unit."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), (F.length(units) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
+def shingles(line: Column) -> Column:
+    """The distinct shingles of a line; by a pattern that matches nothing and looks ahead, as that is faster than a function of places."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to as many tasks as a shuffle has: few bytes can be much work, so that they must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILAR or more. Dealt by both lines, so that one of very many pairs is no single task's."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # As lambdas over one element, so that units, sets and counts are each worked out once however often they are used.
-    units = F.array(F.struct(F.encode("x", "UTF-16BE").alias("x"), F.encode("y", "UTF-16BE").alias("y")))
-    one = F.transform(units, lambda e: F.struct(shingles(e["x"]).alias("s"), shingles(e["y"]).alias("t")))
+    # As lambdas over one element, so that sets and counts are each worked out once however often they are used.
+    one = F.array(F.struct(shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t")))
     counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
-    return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
+    return dealt(both, "a", "b").where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
 
 def parity(s: Column) -> Column:
@@ -82,35 +94,33 @@ def parity(s: Column) -> Column:
     return F.array(*[lane(k) for k in range(4)])
 
 
-def across(large: DataFrame, roots: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of similar lines of one large bucket (key, h) that roots leaves in different groups: every such pair is compared, in pairs of chunks.
+def across(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar lines of one large bucket that roots leaves in different groups: every such pair is compared, in pairs of chunks. large: h, keys (of its large buckets), line.
 
     Of a pair that shares several buckets the least key's compares it. A pair is dropped unseen only where it can't be similar: by the sizes
     of its sets, or by bits that are never more than the elements in which they differ.
     """
-    of = large.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    mixed = of.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
-    of = checkpointed(of.join(mixed, "key").groupBy("h", "root").agg(F.sort_array(F.collect_set("key")).alias("keys")))  # BANDS keys at most
-    texts = lines.join(of.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    sets = texts.select("h", shingles(F.encode("line", "UTF-16BE")).alias("s"))
-    rows = checkpointed(of.join(sets, "h").select("h", "root", "keys", "s", parity(F.col("s")).alias("bits")))
-    keyed = rows.select(F.explode("keys").alias("key"), "h", "root", "keys", "s", "bits")
-    sizes = keyed.groupBy("key").agg(F.least(F.ceil(F.sum(F.size("s")) / CHUNK), F.count("*")).cast("int").alias("chunks"))
-    keyed = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("chunks").cast("long")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    line = F.struct("h", "root", "keys", "s", "bits", "own")
-    dealt = keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
+    of = checkpointed(large.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "keys", "line"))
+    keyed = of.select("h", "root", F.explode("keys").alias("key"), F.char_length("line").alias("chars"))
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.least(F.ceil(F.sum("chars") / CHUNK), F.count("*")).cast("int").alias("chunks")).where("r != s").select("key", "chunks")
+    keyed = keyed.join(mixed, "key").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("key", "chunks"))).alias("in"))  # BANDS buckets at most
+    rows = of.select("h", "root", "line").join(keyed, "h").select("h", "root", F.col("in.key").alias("keys"), "line", F.inline("in"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    line = F.struct("h", "root", "keys", "line", "own")
+    each = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
     # Each chunk meets itself as (i, i) and every other one once.
-    blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
+    blocks = dealt(each, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
+    hashed = F.transform("xs", lambda x: x.withField("s", F.transform(shingles(x["line"]), lambda g: F.xxhash64(g))).dropFields("line"))
+    blocks = blocks.select("key", "i", "j", F.transform(hashed, lambda x: x.withField("size", F.size(x["s"])).withField("bits", parity(x["s"]))).alias("xs"))
 
     def alike(x: Column, y: Column) -> Column:
-        both = F.size(x["s"]) + F.size(y["s"])
+        both = x["size"] + y["size"]
         apart = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(4)), F.lit(0))
-        shared = lambda c: F.size(F.array_intersect(x[c], y[c]))
+        shared = F.size(F.array_intersect(x["s"], y["s"]))
         # Similarity s of sets of n elements together: s (n - shared) <= shared, so they differ in n (1 - s) / (1 + s) at most.
         may = (x["root"] != y["root"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & (apart * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6)
-        may &= F.least(F.size(x["s"]), F.size(y["s"])) >= SIMILAR * F.greatest(F.size(x["s"]), F.size(y["s"])) - 1e-6
-        return (x["h"] < y["h"]) & may & (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")) & (shared("s") >= SIMILAR * (both - shared("s")))
+        may &= F.least(x["size"], y["size"]) >= SIMILAR * F.greatest(x["size"], y["size"]) - 1e-6
+        return (x["h"] < y["h"]) & may & (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")) & (shared * (1 + SIMILAR) >= SIMILAR * both - 1e-6)
 
     pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: alike(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
     return blocks.select(F.inline(pairs))
@@ -120,12 +130,12 @@ def linked(lines: DataFrame) -> DataFrame:
     """node and root of each line that is linked to another: the groups that all similar pairs of lines that share a band hold together."""
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
     members = bucketed(signatures(distinct))
-    # One job, so that the signatures are worked out once: the similar pairs, and the large buckets for what is left apart.
-    near = similar(candidates(members), distinct).select("a", "b", F.lit(True).alias("near"))
-    found = checkpointed(near.union(members.where(F.col("n") > PAIRED).select("key", "h", F.lit(False))))
-    release(lines.sparkSession)
-    roots = components(found.where("near"))
-    rest = checkpointed(across(found.where("not near").select(F.col("a").alias("key"), F.col("b").alias("h")), roots, lines))
+    # One job, so that the signatures are worked out and the texts dealt once: the similar pairs, and the lines of large buckets for what is left apart.
+    near = similar(candidates(members), distinct).select("a", "b", F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("string").alias("line"))
+    large = members.where(F.col("n") > PAIRED).groupBy("h").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    found = checkpointed(near.union(large.join(distinct, "h").select("h", F.lit(None).cast("long"), "keys", "line")))
+    roots = components(found.where("b is not null"))
+    rest = checkpointed(across(found.where("b is null").select(F.col("a").alias("h"), "keys", "line"), roots))
     return roots if rest.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
@@ -155,17 +165,18 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     doc_id is null, and null texts. Rows of one doc_id each keep the line that is that document's. Columns are those of documents; an n_chars
     that is there isn't changed. Lines are told apart by a 64-bit hash.
     """
-    docs = documents.withColumn("_lines_tid", F.xxhash64("text"))
-    cuts = removals(documents).select(F.col("doc_id").alias("_lines_doc"), F.col("tid").alias("_lines_cut"), F.col("gone").alias("_lines_gone"))
-    docs = docs.join(cuts, (F.col("doc_id") == F.col("_lines_doc")) & (F.col("_lines_tid") == F.col("_lines_cut")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines_gone", i)), "\n")
-    return docs.withColumn("text", F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
+    tid, doc, cut, gone = fresh(documents, "tid", "doc", "cut", "gone")
+    docs = documents.withColumn(tid, F.xxhash64("text"))
+    cuts = removals(documents).select(F.col("doc_id").alias(doc), F.col("tid").alias(cut), F.col("gone").alias(gone))
+    docs = docs.join(cuts, (F.col("doc_id") == F.col(doc)) & (F.col(tid) == F.col(cut)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return docs.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines (before), n_kept, kept_sha256 (of the text that stays) for each row of documents; null texts count as no lines."""
     n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n"))).cast("long")
-    docs = deduplicated(documents.select("doc_id", "text", F.col("text").alias("before")))
+    docs = deduplicated(documents.select("doc_id", "text", n("text").alias("n_lines"), (F.col("text") == "").alias("empty")))
     # A text of which no line stays is empty; that is no line.
-    left = F.when((F.col("text") == "") & (F.col("before") != ""), 0).otherwise(n("text"))
-    return docs.select("doc_id", n("before").alias("n_lines"), left.cast("long").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    left = F.when((F.col("text") == "") & ~F.col("empty"), 0).otherwise(n("text"))
+    return docs.select("doc_id", "n_lines", left.cast("long").alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
