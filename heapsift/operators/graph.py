@@ -1,14 +1,14 @@
 """Reachability, paths, weakly held objects, dominators and retained sizes: recursive jobs over the edges.
 
-Each round handles a frontier only, joins it with the edges by key and cuts its lineage, so a lost executor costs one round. Rounds follow
-the depth of the graph; a deep graph that one task can hold is handed over to one (see kernel).
+Each round joins by key and writes what it found, so a lost executor costs one round. What is worked out along a tree takes a round for
+each doubling of its depth. Breadth-first levels follow each other; a deep graph that one task can hold is walked there (see kernel).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import ROOT, HeapTables, checkpointed
@@ -20,28 +20,30 @@ def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.orderBy(*by).withColumn("pos", F.monotonically_increasing_id())
 
 
-def reach(edges: DataFrame, roots: DataFrame, blocked: DataFrame | None = None, max_levels: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, blocked: DataFrame | None = None, max_levels: int = 100_000) -> DataFrame:
     """obj, parent (null for roots), level of everything that roots (obj) lead to.
 
     Breadth first, as a queue would: roots by id; the parent is the earliest object of the queue that refers to an object; within a level
     the order is that of the parents, then of the edges' ord. blocked (src, dst) holds pairs whose edges, all parallel ones, are ignored.
     """
-    edges = edges.select("src", "ord", "dst")
     if blocked is not None:
         edges = edges.join(blocked.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    # Of parallel edges the first counts. pos tells an object of the frontier, so that minima of numbers do and no struct is compared.
+    edges = checkpointed(edges.where("src != dst").groupBy("src", "dst").agg(F.min("ord").alias("ord")))
     none = F.lit(None).cast("long")
-    frontier = checkpointed(_ordered(roots.select("obj").where("obj is not null").distinct(), "obj").select("obj", none.alias("parent"), F.lit(0).alias("level"), "pos"))
-    seen, parts = frontier.select("obj"), [frontier]
+    first = roots.select("obj").where("obj is not null").distinct()
+    frontier = checkpointed(_ordered(first, "obj").select("obj", none.alias("parent"), F.lit(0).alias("level"), "pos"))
+    parts = [frontier]
     for level in range(1, max_levels + 1):
         if level == kernel.DEEP and kernel.fits(edges):
-            return checkpointed(kernel.solve(edges, roots.select("obj").where("obj is not null").distinct(), chains=False))
-        found = edges.join(frontier.select(F.col("obj").alias("src"), "pos"), "src").groupBy(F.col("dst").alias("obj")).agg(F.min(F.struct("pos", "ord", "src")).alias("x"))
-        found = found.join(seen, "obj", "left_anti").select("obj", "x.pos", "x.ord", F.col("x.src").alias("parent"))
-        frontier = checkpointed(_ordered(found.withColumnRenamed("pos", "at"), "at", "ord", "obj").select("obj", "parent", F.lit(level).alias("level"), "pos"))
+            return checkpointed(kernel.walk(edges, first))
+        seen = reduce(DataFrame.union, [p.select("obj") for p in parts])
+        found = edges.join(frontier.select(F.col("obj").alias("src"), "pos"), "src").groupBy(F.col("dst").alias("obj")).agg(F.min("pos").alias("at"), F.min_by("ord", "pos").alias("ord"), F.min_by("src", "pos").alias("parent"))
+        found = found.join(seen, "obj", "left_anti")
+        frontier = checkpointed(_ordered(found, "at", "ord", "obj").select("obj", "parent", F.lit(level).alias("level"), "pos"))
         if frontier.isEmpty():
             return reduce(DataFrame.union, parts).select("obj", "parent", "level")
         parts.append(frontier)
-        seen = seen.union(frontier.select("obj"))
     raise RuntimeError(f"more than {max_levels} levels")
 
 
@@ -84,73 +86,292 @@ def weak_only(tables: HeapTables, reached: DataFrame, ref_kind: str | None = Non
     strong = reached.select("obj")
     weak = tables.weak_edges if ref_kind is None else tables.weak_edges.where(F.col("ref_kind") == ref_kind)
     seeds = weak.join(strong.withColumnRenamed("obj", "src"), "src", "left_semi").select(F.col("dst").alias("obj")).distinct().join(strong, "obj", "left_anti")
-    every = tables.edges.select("src", "ord", "dst").union(tables.weak_edges.select("src", F.lit(0).cast("long"), "dst")).join(strong.withColumnRenamed("obj", "dst"), "dst", "left_anti")
+    every = tables.edges.select("src", "ord", "dst").union(tables.weak_edges.select("src", F.lit(1 << 40).cast("long"), "dst")).join(strong.withColumnRenamed("obj", "dst"), "dst", "left_anti")
     return reach(every, seeds).select("obj")
 
 
+#: Depth up to which a node's label lists all nodes above it; deeper trees are cut into heavy chains first.
+SHALLOW = 64
+#: Rounds of dominators() after which a graph that one task can hold is handed to it.
+PATIENCE = 12
+
+
+def _doubled(nodes: DataFrame, fold: dict[str, Column], read: list[str]) -> DataFrame:
+    """Pointer doubling: nodes (obj, up: a node or ROOT, columns of read) until no up is left, in as many rounds as the logarithm of the depth.
+
+    In each round a node takes its up's up, and fold's columns, which speak of the node's own columns and of those of its up as above_<name>.
+    Nodes that are done aren't written again.
+    """
+    done, at = [], checkpointed(nodes)
+    while True:
+        rest = at.where(F.col("up") != ROOT)
+        done.append(at.where(F.col("up") == ROOT))
+        if rest.isEmpty():
+            return reduce(DataFrame.union, done)
+        all_ = reduce(DataFrame.union, [*done, rest])
+        above = all_.select(F.col("obj").alias("up"), F.col("up").alias("above_up"), *[F.col(c).alias(f"above_{c}") for c in read])
+        at = checkpointed(rest.join(above, "up").select("obj", F.col("above_up").alias("up"), *[fold[c].alias(c) for c in read]))
+
+
+def _totals(tree: DataFrame, measures: list[str]) -> DataFrame:
+    """tree (obj, idom, depth, measures) with each measure summed over what a node dominates: n_<measure>. A round for each doubling of the depth; partial sums, so a node of very many children is no task's alone."""
+    at = checkpointed(tree.select("obj", F.col("idom").alias("up"), *[F.col(m).alias(f"n_{m}") for m in measures]))
+    sums = [f"n_{m}" for m in measures]
+    while True:
+        low = at.where(F.col("up") != ROOT)
+        if low.isEmpty():
+            return at.select("obj", *sums)
+        more = low.groupBy(F.col("up").alias("obj")).agg(*[F.sum(s).alias(f"more_{s}") for s in sums])
+        above = at.select(F.col("obj").alias("up"), F.col("up").alias("above"))
+        at = at.join(more, "obj", "left").join(above, "up", "left").select("obj", F.coalesce("above", F.lit(ROOT).cast("long")).alias("up"), *[(F.col(s) + F.coalesce(f"more_{s}", F.lit(0).cast("long"))).alias(s) for s in sums])
+        at = checkpointed(at)
+
+
+def _depths(idoms: DataFrame) -> DataFrame:
+    """obj, idom and depth (1 below the virtual root)."""
+    return _doubled(idoms.select("obj", F.col("idom").alias("up"), "idom", F.lit(1).alias("depth")), {"idom": F.col("idom"), "depth": F.col("depth") + F.col("above_depth")}, ["idom", "depth"]).select("obj", "idom", "depth")
+
+
+def _paths(idoms: DataFrame) -> DataFrame:
+    """obj and label: the way of nodes from the top of a shallow tree (obj, idom) down to obj."""
+    return _doubled(idoms.select("obj", F.col("idom").alias("up"), F.array("obj").alias("label")), {"label": F.concat("above_label", "label")}, ["label"]).select("obj", "label")
+
+
+def _chains(idoms: DataFrame) -> DataFrame:
+    """obj and label of a deep tree (obj, idom): an array of (head, depth, node), the chains of the tree from the top down to obj's, told by their topmost node, and where the way to obj leaves each.
+
+    A node's chain goes on to the child that dominates most, so that no label is longer than the logarithm of the number of nodes.
+    """
+    tree = checkpointed(_depths(idoms))
+    sizes = _totals(tree.withColumn("one", F.lit(1).cast("long")), ["one"])
+    sized = checkpointed(tree.join(sizes, "obj"))
+    heavy = sized.where(F.col("idom") != ROOT).groupBy("idom").agg(F.max_by("obj", F.struct("n_one", "obj")).alias("obj")).select("obj", F.lit(True).alias("on"))
+    steps = sized.join(heavy, "obj", "left").select("obj", F.when(F.col("on"), F.col("idom")).otherwise(F.lit(ROOT).cast("long")).alias("up"), F.col("obj").alias("head"))
+    heads = _doubled(steps, {"head": F.col("above_head")}, ["head"]).select("obj", "head")
+    chains = checkpointed(tree.join(heads, "obj"))
+    # Chains as nodes of a tree of their own: the way down to a chain is that to the one which its head hangs from, and where it leaves that.
+    over = chains.select(F.col("obj").alias("idom"), F.col("head").alias("up"), F.array(F.struct("head", "depth", F.col("obj").alias("node"))).alias("way"))
+    none = F.array().cast("array<struct<head:bigint,depth:int,node:bigint>>")
+    ways = chains.where("obj = head").select("obj", "idom").join(over, "idom", "left").select("obj", F.coalesce("up", F.lit(ROOT).cast("long")).alias("up"), F.coalesce("way", none).alias("way"))
+    ways = _doubled(ways, {"way": F.concat("above_way", "way")}, ["way"]).select(F.col("obj").alias("head"), "way")
+    return chains.join(ways, "head").select("obj", F.concat("way", F.array(F.struct("head", "depth", F.col("obj").alias("node")))).alias("label"))
+
+
+def _parting(lo: str, hi: str) -> Column:
+    """The first place at which two labels differ; null where lo, the lesser of them, is the beginning of hi."""
+    return F.array_min(F.filter(F.sequence(F.lit(0), F.least(F.size(lo), F.size(hi)) - 1), lambda i: F.get(F.col(lo), i) != F.get(F.col(hi), i)))
+
+
+def _common_path(lo: str, hi: str) -> Column:
+    """The way to the nearest node above both of two nodes, from the ways to these."""
+    return F.slice(F.col(lo), F.lit(1), F.coalesce(_parting(lo, hi), F.size(lo)))
+
+
+def _common_node(lo: str, hi: str) -> Column:
+    """The nearest node above both of two labels of _chains(), ROOT if only the virtual root is."""
+    at = _parting(lo, hi)
+    chain = F.get(F.col(lo), at)
+    # The labels of one chain are ordered by depth, so the lesser leaves it first.
+    return F.when(at.isNull(), F.element_at(lo, -1)["node"]).when(chain["head"] == F.get(F.col(hi), at)["head"], chain["node"]).when(at == 0, F.lit(ROOT).cast("long")).otherwise(F.get(F.col(lo), at - 1)["node"])
+
+
+def _last(path: Column) -> Column:
+    return F.when(F.size(path) > 0, F.element_at(path, -1)).otherwise(F.lit(ROOT).cast("long"))
+
+
+def _settled(refs: DataFrame, several: DataFrame, top: DataFrame) -> DataFrame:
+    """obj, label (its way in the dominator tree) of what can be settled in an order in which all referrers come first.
+
+    refs: dst, a, b (the least and the greatest referrer of each object that is no root); several: dst, src of those with more than one.
+    An object of one referrer is dominated by it, so such objects hang as trees from roots and from objects of several referrers (heads),
+    and are settled with their head. An object of several is settled once all its referrers are but those that hang from itself.
+    """
+    single = checkpointed(refs.where("a = b").select(F.col("dst").alias("obj"), F.col("a").alias("up")))
+    below = single.join(single.select(F.col("obj").alias("up"), F.lit(True).alias("on")), "up", "left")
+    steps = below.select("obj", F.when(F.col("on"), F.col("up")).otherwise(F.lit(ROOT).cast("long")).alias("up"), F.when(F.col("on").isNull(), F.col("up")).alias("head"), F.array("obj").alias("way"))
+    hung = _doubled(steps, {"head": F.col("above_head"), "way": F.concat("above_way", "way")}, ["head", "way"]).select("obj", "head", "way")
+    below = lambda heads: heads.union(hung.join(heads.select(F.col("obj").alias("head"), "label"), "head").select("obj", F.concat("label", "way").alias("label")))
+    found = [checkpointed(below(top.select("obj", F.array("obj").alias("label"))))]
+    pending = checkpointed(several.join(hung.select(F.col("obj").alias("src"), "head"), "src", "left").where("head is null or head != dst").select("dst", "src"))
+    for _ in range(PATIENCE):
+        labels = reduce(DataFrame.union, found).withColumnRenamed("obj", "src")
+        ends = pending.join(labels, "src", "left").groupBy("dst").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.count("label").alias("known"))
+        ready = ends.where("known = n").select(F.col("dst").alias("obj"), F.concat(_common_path("lo", "hi"), F.array("dst")).alias("label"))
+        new = checkpointed(below(checkpointed(ready)))
+        if new.isEmpty():
+            break
+        found.append(new)
+        pending = checkpointed(pending.join(new.select(F.col("obj").alias("dst")), "dst", "left_anti"))
+        if pending.isEmpty():
+            break
+    return reduce(DataFrame.union, found)
+
+
 def dominators(edges: DataFrame, roots: DataFrame, reached: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """obj, doms: for each reached object the chain of its dominators from below the virtual root down to itself.
+    """obj, idom (ROOT for top-level objects) of each reached object; in a shallow graph label too, the way down to it in the dominator tree.
 
-    Data-flow over sets: an object's dominators are itself and what is among the dominators of each of its referrers known so far. Only
-    objects whose referrers changed are worked out again. The intersection is a count of each candidate against the number of referrers, an
-    aggregate with partial sums, so that an object with very many referrers is no single list.
+    What can be settled in order is settled (see _settled). For the rest, cycles of objects that are entered in several places, the parent
+    of each object starts as its breadth-first parent, above which its dominators are in any case. In each round the parent of every object of
+    several referrers becomes the nearest node above all of these, until nothing changes. That node is the one above the least and the
+    greatest of their labels, so an object of very many referrers takes two partial aggregates. A graph that is slow to settle, as doubly
+    linked lists are, is handed to one task if it fits (see kernel).
     """
-    top = roots.select("obj").distinct().join(reached.select("obj"), "obj", "left_semi")
-    live = edges.select("src", "dst").where("src != dst").join(reached.select(F.col("obj").alias("src")), "src", "left_semi").join(top.withColumnRenamed("obj", "dst"), "dst", "left_anti").distinct()
-    live = checkpointed(live)
-    if (reached.agg(F.max("level")).first()[0] or 0) >= kernel.DEEP - 1 and kernel.fits(live):
-        return checkpointed(kernel.solve(live.withColumn("ord", F.lit(0).cast("long")), top, chains=True))
-    state = checkpointed(top.select("obj", F.array("obj").alias("doms")))
-    changed = state.select("obj")
-    for _ in range(max_rounds):
-        again = live.join(changed.withColumnRenamed("obj", "src"), "src", "left_semi").select("dst").distinct()
-        known = live.join(again, "dst", "left_semi").join(state.select(F.col("obj").alias("src"), "doms"), "src")
-        sizes = known.groupBy("dst").agg(F.count("*").alias("n"), F.min(F.size("doms")).alias("least"))
-        # What an intersection holds is at least in the first `least` places or nowhere; every place is counted all the same, as cycles are met before their ends.
-        counts = known.select("dst", F.posexplode("doms").alias("place", "dom")).groupBy("dst", "dom").agg(F.count("*").alias("c"), F.max("place").alias("place"))
-        kept = counts.join(sizes, "dst").where("c = n and dom != dst").groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("place", "dom")))["dom"].alias("upper"))
-        fresh = sizes.select(F.col("dst").alias("obj")).join(kept.withColumnRenamed("dst", "obj"), "obj", "left").select("obj", F.concat(F.coalesce("upper", F.array().cast("array<bigint>")), F.array("obj")).alias("doms"))
-        fresh = checkpointed(fresh.join(state.withColumnRenamed("doms", "old"), "obj", "left").where("old is null or old != doms").select("obj", "doms"))
-        if fresh.isEmpty():
-            return state
-        state = checkpointed(state.join(fresh, "obj", "left_anti").union(fresh))
-        changed = fresh.select("obj")
-    raise RuntimeError(f"dominators did not settle in {max_rounds} rounds")
+    top = checkpointed(roots.select("obj").distinct().join(reached.select("obj"), "obj", "left_semi"))
+    live = edges.select("src", "dst").where("src != dst").join(reached.select(F.col("obj").alias("src")), "src", "left_semi").join(top.withColumnRenamed("obj", "dst"), "dst", "left_anti")
+    refs = checkpointed(live.groupBy("dst").agg(F.min("src").alias("a"), F.max("src").alias("b")))
+    several = checkpointed(live.join(refs.where("a != b").select("dst"), "dst", "left_semi"))
+    shallow = (reached.agg(F.max("level")).first()[0] or 0) < SHALLOW
+    start = reached.select("obj", F.coalesce("parent", F.lit(ROOT).cast("long")).alias("idom"))
+    if shallow:
+        settled = _settled(refs, several, top)
+        rest = several.select(F.col("dst").alias("obj")).join(settled, "obj", "left_anti").limit(1)
+        if rest.isEmpty():
+            return settled.select("obj", _last(F.slice("label", F.lit(1), F.size("label") - 1)).alias("idom"), "label")
+        known = settled.select("obj", _last(F.slice("label", F.lit(1), F.size("label") - 1)).alias("known"))
+        start = start.join(known, "obj", "left").select("obj", F.coalesce("known", "idom").alias("idom"))
+        several = checkpointed(several.join(settled.select(F.col("obj").alias("dst")), "dst", "left_anti"))
+    idoms = checkpointed(start)
+    # What changes matters again only below it, or where it refers to objects of several referrers.
+    for turn in range(max_rounds):
+        if several.isEmpty():
+            break
+        if turn == PATIENCE and kernel.fits(live):
+            idoms = checkpointed(kernel.solve(live, top))
+            break
+        labels = _paths(idoms) if shallow else _chains(idoms)
+        ends = several.join(labels.withColumnRenamed("obj", "src"), "src").groupBy("dst").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        new = ends.select(F.col("dst").alias("obj"), (_last(_common_path("lo", "hi")) if shallow else _common_node("lo", "hi")).alias("new"))
+        changed = checkpointed(new.join(idoms, "obj").where("new != idom").select("obj", "new"))
+        felt = several.select(F.col("src").alias("obj")).union(idoms.select(F.col("idom").alias("obj")))
+        last = changed.join(felt, "obj", "left_semi").isEmpty()
+        idoms = checkpointed(idoms.join(changed, "obj", "left").select("obj", F.coalesce("new", "idom").alias("idom")))
+        if last:
+            break
+    else:
+        raise RuntimeError(f"dominators did not settle in {max_rounds} rounds")
+    return idoms.join(_paths(idoms), "obj") if shallow else idoms
+
+
+def _running(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """df with before: the sum of value over all rows that come before in the order of the columns by. Sums of sorted partitions, then those within each."""
+    rows = checkpointed(df.orderBy(*by).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("part").agg(F.sum(value).alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("earlier"))  # a row for each partition
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long"))).join(F.broadcast(parts), "part").withColumn("before", F.col("inside") + F.col("earlier")).drop("at", "part", "inside", "earlier")
+
+
+def _numbered(df: DataFrame, *by: str) -> DataFrame:
+    """df with number, from 0 in the order of the columns by."""
+    rows = checkpointed(df.orderBy(*by).withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("part").agg(F.count("*").alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("earlier"))  # a row for each partition
+    return rows.join(F.broadcast(parts), "part").withColumn("number", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("earlier")).drop("at", "part", "earlier")
 
 
 def dominator_tree(tables: HeapTables, reached: DataFrame) -> DataFrame:
-    """obj, idom (ROOT for top-level objects), depth, doms, retained of each reached object."""
-    doms = dominators(tables.edges, tables.roots, reached)
-    held = doms.select("obj", F.explode("doms").alias("dom")).join(tables.objects.select("obj", "shallow"), "obj").groupBy(F.col("dom").alias("obj")).agg(F.sum("shallow").alias("retained"))
-    idom = F.when(F.size("doms") > 1, F.element_at("doms", -2)).otherwise(F.lit(ROOT).cast("long"))
-    return checkpointed(doms.join(held, "obj").select("obj", idom.alias("idom"), F.size("doms").alias("depth"), "doms", "retained"))
+    """obj, idom (ROOT for top-level objects), depth, retained, first and last of each reached object.
+
+    first numbers the objects from 0 in preorder, children by id; what an object dominates, itself too, is numbered from first to last.
+    """
+    found = dominators(tables.edges, tables.roots, reached)
+    sizes = tables.objects.select("obj", "shallow")
+    if "label" in found.columns:
+        # The ways sort in preorder, and a node's sums are over the ways that it is on.
+        rows = checkpointed(_numbered(found.join(sizes, "obj"), "label"))
+        sums = rows.select(F.explode("label").alias("obj"), "shallow").groupBy("obj").agg(F.sum("shallow").alias("retained"), F.count("*").alias("size"))
+        rows = rows.join(sums, "obj").select("obj", "idom", F.size("label").alias("depth"), "retained", F.col("number").alias("first"), "size")
+    else:
+        tree = checkpointed(_depths(found).join(sizes, "obj").withColumn("one", F.lit(1).cast("long")))
+        tree = checkpointed(tree.join(_totals(tree, ["shallow", "one"]), "obj").select("obj", "idom", "depth", F.col("n_shallow").alias("retained"), F.col("n_one").alias("size")))
+        siblings = _running(tree, "size", "idom", "obj")
+        start = siblings.groupBy("idom").agg(F.min("before").alias("start"))
+        steps = siblings.join(start, "idom").select("obj", F.col("idom").alias("up"), (F.col("before") - F.col("start") + F.when(F.col("idom") == ROOT, 0).otherwise(1)).cast("long").alias("first"))
+        first = _doubled(steps, {"first": F.col("first") + F.col("above_first")}, ["first"]).select("obj", "first")
+        rows = tree.join(first, "obj")
+    return checkpointed(rows.select("obj", "idom", "depth", "retained", "first", (F.col("first") + F.col("size") - 1).alias("last")))
+
+
+#: Objects of one block of preorder numbers, and of one of blocks' numbers.
+BLOCK = 1 << 16
+
+
+def inside(rows: DataFrame, *group: str) -> DataFrame:
+    """rows (first, last, mark and columns of group) with over: whether an earlier marked row of the same group holds it.
+
+    As intervals are nested or apart, that is so where the greatest last of the marked rows before it is no less than its own first. Running
+    maxima are taken within blocks of numbers, and over blocks, so that no group is one task's.
+    """
+    ends = F.when(F.col("mark"), F.col("last"))
+    rows = rows.withColumn("block", F.floor(F.col("first") / BLOCK))
+    blocks = rows.groupBy(*group, "block").agg(F.max(ends).alias("end"))
+    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("carried", F.max("end").over(earlier)).drop("end")
+    near = Window.partitionBy(*group, "block").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("near", F.max(ends).over(near)).join(blocks, [*group, "block"], "left")
+    return rows.withColumn("over", F.coalesce(F.greatest("near", "carried") >= F.col("first"), F.lit(False))).drop("block", "near", "carried")
 
 
 def children(tree: DataFrame, top: int) -> DataFrame:
-    """idom, rank, obj, retained: the biggest children of each dominator, ties by id."""
+    """idom, rank, obj, retained: the biggest children of each dominator, ties by id. The best of salted parts first, as one object may have very many children."""
+    rows = tree.where(F.col("idom") != ROOT).select("idom", "obj", "retained")
+    parts = Window.partitionBy("idom", F.pmod(F.xxhash64("obj"), F.lit(64))).orderBy(F.desc("retained"), "obj")
     w = Window.partitionBy("idom").orderBy(F.desc("retained"), "obj")
-    return tree.where(F.col("idom") != ROOT).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("idom", "rank", "obj", "retained")
+    rows = rows.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("idom", "rank", "obj", "retained")
 
 
 def top_level(tree: DataFrame, top: int) -> DataFrame:
     return tree.where(F.col("idom") == ROOT).orderBy(F.desc("retained"), "obj").limit(top).select("obj", "retained")
 
 
-def descend(tree: DataFrame, start: DataFrame) -> DataFrame:
-    """start (obj), obj, hops: from each, down to where memory gathers: as long as the biggest child holds three quarters of what its parent does."""
-    biggest = children(tree, 1).select("idom", F.col("obj").alias("child"), F.col("retained").alias("held"))
-    at = start.select(F.col("obj").alias("start"), "obj").join(tree.select("obj", "retained"), "obj").withColumn("hops", F.lit(0))
-    while True:
-        nxt = at.join(biggest, F.col("obj") == F.col("idom"), "left")
-        go = F.coalesce(4 * F.col("held") >= 3 * F.col("retained"), F.lit(False))
-        moved = checkpointed(nxt.select("start", F.when(go, F.col("child")).otherwise(F.col("obj")).alias("obj"), F.when(go, F.col("held")).otherwise(F.col("retained")).alias("retained"), (F.col("hops") + go.cast("int")).alias("hops"), go.alias("go")))
-        at = moved.drop("go")
-        if moved.where("go").isEmpty():
-            return at
+def descend(tree: DataFrame, start: DataFrame, folds: DataFrame | None = None) -> DataFrame:
+    """start (obj), obj, retained, hops: from each, down to where memory gathers: as long as the biggest child holds three quarters of what its parent does.
+
+    folds (obj): objects whose step down from their dominator goes on a run of equal steps; a way that ends in such a run ends where the run begins.
+    """
+    biggest = tree.where(F.col("idom") != ROOT).groupBy("idom").agg(F.max_by("obj", F.struct("retained", -F.col("obj"))).alias("child"), F.max("retained").alias("held"))
+    go = F.coalesce(4 * F.col("held") >= 3 * F.col("retained"), F.lit(False))
+    none = F.lit(None).cast("long")
+    steps = tree.join(biggest.withColumnRenamed("idom", "obj"), "obj", "left").select("obj", F.when(go, F.col("child")).otherwise(F.lit(ROOT).cast("long")).alias("up"), go.cast("int").alias("hops"))
+    steps = steps.join(folds.select("obj", F.lit(True).alias("on")), "obj", "left") if folds is not None else steps.withColumn("on", F.lit(None).cast("boolean"))
+    # The ways of all objects at once, as doubling takes few rounds where a way is long. end: the last object on the way from here that is no run's.
+    steps = steps.select("obj", "up", F.when(F.col("on").isNull(), F.col("obj")).otherwise(none).alias("end"), "hops")
+    ends = _doubled(steps, {"end": F.coalesce("above_end", "end"), "hops": F.col("hops") + F.col("above_hops")}, ["end", "hops"])
+    out = start.select("obj").join(ends, "obj").select(F.col("obj").alias("start"), F.coalesce("end", "obj").alias("obj"), "hops")
+    return out.join(tree.select("obj", "retained"), "obj").select("start", "obj", "retained", "hops")
+
+
+def folds(tables: HeapTables, tree: DataFrame) -> DataFrame:
+    """obj of those whose step down from their dominator has the class and the field of the step before: both objects' classes are equal, and so are the labels of the first edges into them. Array elements are no fields."""
+    pairs = tree.where(F.col("idom") != ROOT).select("obj", "idom").join(tables.objects.select("obj", "class_id"), "obj")
+    first = tables.edges.join(pairs.select(F.col("idom").alias("src"), F.col("obj").alias("dst")), ["src", "dst"]).groupBy(F.col("dst").alias("obj")).agg(F.min_by(F.struct("label", "elem"), "ord").alias("e"))
+    steps = checkpointed(pairs.join(first, "obj").where("e.elem is null").select("obj", "idom", "class_id", "e.label"))
+    above = steps.select(F.col("obj").alias("idom"), F.col("class_id").alias("over"), F.col("label").alias("before"))
+    return steps.join(above, "idom").where("class_id = over and label = before").select("obj")
 
 
 def subtree(tree: DataFrame, objs: DataFrame) -> DataFrame:
-    """outer, obj: what each of objs (obj) dominates, itself too; of an unreached object itself alone."""
-    inside = tree.select("obj", F.explode("doms").alias("outer")).join(objs.select(F.col("obj").alias("outer")), "outer", "left_semi")
-    alone = objs.join(tree, "obj", "left_anti").select(F.col("obj").alias("outer"), "obj")
-    return inside.select("outer", "obj").union(alone)
+    """outer, obj: what each of objs (obj) dominates, itself too; of an unreached object itself alone.
+
+    Each interval of preorder numbers is cut into aligned blocks of powers of two, which meet the numbers by equality.
+    """
+    wanted = checkpointed(objs.select("obj").distinct().join(tree.select("obj", "first", "last"), "obj", "left"))
+    cut = wanted.where("first is not null").select(F.col("obj").alias("outer"), F.inline(_blocks(F.col("first"), F.col("last"))))
+    cut = checkpointed(cut)
+    scales = sorted(r["scale"] for r in cut.select("scale").distinct().collect())  # 63 at most
+    points = tree.select("obj", F.inline(F.array(*[F.struct(F.lit(s).alias("scale"), F.shiftright("first", s).alias("block")) for s in scales]))) if scales else None
+    alone = wanted.where("first is null").select(F.col("obj").alias("outer"), "obj")
+    return alone if points is None else cut.join(points, ["scale", "block"]).select("outer", "obj").union(alone)
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """The fewest aligned blocks (scale, block: numbers from block * 2^scale on) that make up first to last."""
+    one = lambda s, b: F.struct(s.alias("scale"), b.alias("block"))
+    right = lambda x, s: F.call_function("shiftright", x, s)
+
+    def of(s: Column) -> Column:
+        lo, hi = right(first + F.call_function("shiftleft", F.lit(1).cast("long"), s) - 1, s), right(last + 1, s)
+        return F.array_compact(F.array(F.when((lo < hi) & (lo % 2 == 1), one(s, lo)), F.when((lo < hi) & (hi % 2 == 1), one(s, hi - 1))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(47)), of))

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: The virtual root that dominates all GC roots.
 ROOT = 0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it names none, a temporary one if the master is local, else an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="heapsift-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return _OWN[sc.applicationId]
+
+
+_OWN: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names; a folder of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heapsift-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df written as Parquet in the shared folder and read again: its lineage is cut, its size is known, and only columns in use are read."""
+    path = f"{shared_folder(df.sparkSession)}/heapsift-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)

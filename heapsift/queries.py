@@ -63,7 +63,7 @@ def heap_totals(spark, sf):
     return summary.totals(h.tables, h.reached, graph.weak_only(h.tables, h.reached))
 
 
-@query(f"{_REACH} select name as class, count(*) objects, sum(shallow)::bigint shallow from oc where obj not in (select obj from r) group by name")
+@query(f"{_REACH} select name as class, count(*) objects, sum(shallow)::bigint shallow from oc anti join r using (obj) group by name")
 def garbage_by_class(spark, sf):
     h = heap(spark, sf, root_regions=3)
     return summary.garbage(h.tables, h.reached, graph.weak_only(h.tables, h.reached))
@@ -229,10 +229,13 @@ def duplicate_strings(spark, sf):
     return contents.duplicate_strings(strings(spark, sf)).select(F.md5("text").alias("text_md5"), "copies", "wasted")
 
 
-@query("select html_len content, count(*) copies, ((count(*) - 1) * 8)::bigint wasted from (select strlen(html) // 100 html_len, page_id from pages) group by 1 having count(*) > 1")
+@query("""with a as (select page_id array_, md5(substr(html, 1, 400)) content, strlen(substr(html, 1, 400))::bigint bytes from pages union all select 1000000000 + doc_id, md5(text), strlen(text)::bigint from documents where text is not null)
+select content, count(*) copies, (sum(bytes) - arg_min(bytes, array_))::bigint wasted from a group by content having count(*) > 1""")
 def duplicate_arrays(spark, sf):
-    rows = read(spark, sf, "pages").select(F.col("page_id").alias("array"), F.floor(F.octet_length("html") / 100).alias("content"), F.lit(8).cast("long").alias("bytes"))
-    return contents.duplicate_arrays(rows)
+    """Arrays by their contents: the heads of pages, and the bytes of documents."""
+    heads = read(spark, sf, "pages").select(F.col("page_id").alias("array"), F.substring("html", 1, 400).alias("body"))
+    rows = heads.union(read(spark, sf, "documents").where("text is not null").select(F.col("doc_id") + 1_000_000_000, "text"))
+    return contents.duplicate_arrays(rows.select("array", F.md5("body").alias("content"), F.octet_length("body").cast("long").alias("bytes")))
 
 
 @query("""with b as (select p_brand as class, p_size bits from part), t as (select class, bits, count(*) n from b group by all),
@@ -273,7 +276,7 @@ def collection_fill(spark, sf):
 @query(f"""with {TABLES},
 n as (select name as class, count(*) instances, sum(shallow)::bigint shallow from oc group by name),
 late as (select {5 * SCALE} + o_orderkey obj from orders where o_orderdate >= timestamp '{_UNTIL}'),
-b as (select name as class, count(*) instances, sum(shallow)::bigint shallow from oc where obj not in (select obj from late) and obj not in (select obj from li where ord in (select obj from late)) group by name)
+b as (select name as class, count(*) instances, sum(shallow)::bigint shallow from oc anti join late using (obj) anti join (select li.obj from li semi join late on late.obj = li.ord) x using (obj) group by name)
 select class, coalesce(b.instances, 0)::bigint instances_before, coalesce(n.instances, 0)::bigint instances_now, coalesce(b.shallow, 0)::bigint shallow_before, coalesce(n.shallow, 0)::bigint shallow_now,
  (coalesce(n.instances, 0) - coalesce(b.instances, 0))::bigint instances_change, (coalesce(n.shallow, 0) - coalesce(b.shallow, 0))::bigint shallow_change
 from n full join b using (class) where coalesce(n.instances, 0) != coalesce(b.instances, 0) or coalesce(n.shallow, 0) != coalesce(b.shallow, 0)""")
