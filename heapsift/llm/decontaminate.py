@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ALNUM, lower_ascii, words
+from .common import WORD_ALNUM, fresh, lower_ascii, words
 
 WINDOW = 10
 #: The set of benchmark windows is broadcast up to this size; beyond it the join is dealt by hash, and AQE splits hot hashes.
@@ -47,6 +47,34 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return rows.groupBy("k", "grams").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("h", F.xxhash64(word_hashes("grams")))
 
 
+def _met(docs: DataFrame, side: DataFrame, ks: list[int]) -> DataFrame:
+    """doc_id, id, chars, n_words, raw (struct<start, len> of each window found), items. The windows are broadcast; those of documents never leave the map task but where they hit."""
+    rows = rolling_hashes(docs.withColumn("wh", word_hashes("w")), ks, "doc_id", "id", "chars", "w")
+    first = F.col("pos").isNull() | ((F.col("pos") == 0) & (F.col("width") == (ks or [0])[0]))  # stands for the document, so that one without hits stays
+    hits = rows.join(F.broadcast(side), F.col("hash") == F.col("h"), "left").where(first | F.col("h").isNotNull())
+    verified = F.coalesce((F.col("width") == F.col("k")) & (F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("grams")), F.lit(False))
+    hits = hits.withColumn("hit", verified).where(first | F.col("hit"))
+    span = F.when(F.col("hit"), F.struct(F.col("pos").alias("start"), F.col("k").alias("len")))
+    # Each of a row's hits on the first window comes once; of several equal hashes there only one is verified.
+    return hits.groupBy("doc_id", "id", "chars").agg(
+        F.max(F.size("w")).alias("n_words"), F.sort_array(F.collect_set(span)).alias("raw"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit"), F.col("items")))))).alias("items"),
+    )
+
+
+def _joined(docs: DataFrame, side: DataFrame, ks: list[int]) -> DataFrame:
+    """As _met(), for windows that are too many to broadcast: hashes meet by a join, and the hits, few as they are, go back to their documents to be verified."""
+    key = ["doc_id", "id", "chars"]
+    rows = rolling_hashes(docs.withColumn("wh", word_hashes("w")), ks, *key).where("hash is not null")
+    hits = rows.join(side, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("k"))).groupBy(*key).agg(F.collect_set(F.struct("pos", "k", "grams", "items")).alias("hits"))
+    same = [F.col(c).eqNullSafe(F.col(f"hit_{c}")) for c in key]
+    both = docs.dropDuplicates(key).join(hits.withColumnsRenamed({c: f"hit_{c}" for c in key}), same[0] & same[1] & same[2], "left")
+    good = F.filter("hits", lambda x: F.slice("w", x["pos"] + 1, x["k"]) == x["grams"])
+    both = both.select(*key, F.size("w").alias("n_words"), F.coalesce(good, F.array().cast(hits.schema["hits"].dataType)).alias("good"))
+    raw = F.sort_array(F.array_distinct(F.transform("good", lambda x: F.struct(x["pos"].alias("start"), x["k"].alias("len")))))
+    return both.select(*key, "n_words", raw.alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.transform("good", lambda x: x["items"])))).alias("items"))
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each document: doc_id, id and chars (the text's hash and length), n_words, n_hit, items (sorted array of the ids whose windows occur), spans (sorted array of disjoint struct<start, len> of the words hit).
 
@@ -57,33 +85,22 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_
     sizes = windows.groupBy("k").agg(F.sum(F.length(F.concat_ws(" ", "grams")) + 16 * F.col("k") + 16 * F.size("items") + 64).alias("bytes")).collect()  # n rows at most
     ks = sorted(r["k"] for r in sizes)
     side = windows.select("h", "k", "grams", "items")
-    if sum(r["bytes"] for r in sizes) <= broadcast_bytes:
-        side = F.broadcast(side)
     docs = documents.select("doc_id", F.xxhash64("text").alias("id"), F.length("text").alias("chars"), words(lower_ascii(F.col("text")), WORD_ALNUM).alias("w"))
-    rows = rolling_hashes(docs.withColumn("wh", word_hashes("w")), ks, "doc_id", "id", "chars", "w")
-    first = F.col("pos").isNull() | ((F.col("pos") == 0) & (F.col("width") == (ks or [0])[0]))  # stands for the document, so that one without hits stays
-    hits = rows.join(side, F.col("hash") == F.col("h"), "left").where(first | F.col("h").isNotNull())
-    verified = F.coalesce((F.col("width") == F.col("k")) & (F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("grams")), F.lit(False))
-    hits = hits.withColumn("hit", verified).where(first | F.col("hit"))
-    span = F.when(F.col("hit"), F.struct(F.col("pos").alias("start"), F.col("k").alias("len")))
-    # Each of a row's hits on the first window comes once; of several equal hashes there only one is verified.
-    per = hits.groupBy("doc_id", "id", "chars").agg(
-        F.max(F.size("w")).alias("n_words"), F.sort_array(F.collect_set(span)).alias("raw"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("hit"), F.col("items")))))).alias("items"),
-    )
-    step = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,len:int>>").alias("out"))
-    add = lambda a, x: F.struct(
-        F.greatest(a["end"], x["start"] + x["len"]).alias("end"),
-        F.when(x["start"] + x["len"] > a["end"], F.concat(a["out"], F.array(F.struct(F.greatest(x["start"], a["end"]).alias("start"), (x["start"] + x["len"] - F.greatest(x["start"], a["end"])).alias("len"))))).otherwise(a["out"]).alias("out"),
-    )
-    per = per.withColumn("spans", F.aggregate("raw", step, add, lambda a: a["out"]))
+    per = _met(docs, side, ks) if sum(r["bytes"] for r in sizes) <= broadcast_bytes else _joined(docs, side, ks)
+    # Of windows with one start the longest counts, so that no more than n - 1 earlier ones reach into one.
+    longest = per.withColumn("raw", F.filter("raw", lambda x, i: F.coalesce(F.get("raw", i + 1)["start"] != x["start"], F.lit(True))))
+    before = lambda i: F.slice("raw", F.greatest(i - (n - 1), F.lit(0)) + 1, F.least(i, F.lit(n - 1)))
+    begin = lambda x, i: F.greatest(x["start"], F.coalesce(F.array_max(F.transform(before(i), lambda y: y["start"] + y["len"])), F.lit(0)))
+    pieces = F.transform("raw", lambda x, i: F.struct(begin(x, i).alias("start"), (x["start"] + x["len"] - begin(x, i)).alias("len")))
+    per = longest.withColumn("spans", F.filter(pieces, lambda x: x["len"] > 0))
     return per.select("doc_id", "id", "chars", F.col("n_words").cast("long").alias("n_words"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["len"]).alias("n_hit"), "items", "spans")
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """documents without the rows in which a window of the benchmark occurs. Each row is judged by its own text, also where its doc_id is null or another row's."""
-    bad = scan(documents, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("_bad"), F.col("id").alias("_bad_id"), F.col("chars").alias("_bad_chars"))
-    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_id")) & (F.length("text") == F.col("_bad_chars"))
+    doc, tid, size = fresh(documents, "doc", "id", "chars")
+    bad = scan(documents, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias(doc), F.col("id").alias(tid), F.col("chars").alias(size))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tid)) & (F.length("text") == F.col(size))
     return documents.join(bad, same, "left_anti")
 
 

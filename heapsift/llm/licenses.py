@@ -54,8 +54,8 @@ def scan(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
     on = F.when(F.col("hit"), F.col("pos") - F.col("at"))
     key = ["doc_id", "id", "chars"]
     template = F.when(F.col("hit"), F.col("t"))
-    voted = hits.select(*key, F.size("w").alias("n_words"), template.alias("t"), on.alias("diagonal"), F.when(F.col("hit"), F.col("pos")).alias("pos"), F.when(F.col("hit"), F.col("at")).alias("at"), "label", "phrase", "total", "k")
-    voted = voted.groupBy(*key, "t", "diagonal").agg(F.max("n_words").alias("n_words"), F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("k")).alias("hi"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("total").alias("total"))
+    voted = hits.select(*key, F.size("w").alias("n_words"), template.alias("t"), on.alias("diagonal"), F.when(F.col("hit"), F.col("pos")).alias("pos"), F.when(F.col("hit"), F.col("at")).alias("at"), "label", "phrase", "total", F.size("grams").alias("long"))
+    voted = voted.groupBy(*key, "t", "diagonal").agg(F.max("n_words").alias("n_words"), F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("long")).alias("hi"), F.max("label").alias("label"), F.max("phrase").alias("phrase"), F.max("total").alias("total"))
     by = Window.partitionBy(*key, "t").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > GAP) | F.col("phrase"), F.lit(True))
     merged = voted.withColumn("span", F.sum(fresh.cast("int")).over(by)).groupBy(*key, "t", "span").agg(

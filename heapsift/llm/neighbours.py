@@ -103,15 +103,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = np.stack(right["v"].to_numpy())
         ids = right["ids"].to_numpy()
+        longest = float(np.sqrt((c**2).sum(axis=1).max()))
         out = []
         for at in range(0, len(left), 256):
             some = left.iloc[at : at + 256]
-            scores = np.stack(some["v"].to_numpy()) @ c.T
-            for q, row in zip(some["vec_id"].tolist(), scores, strict=True):
+            x = np.stack(some["v"].to_numpy())
+            margins = 1e-12 * c.shape[1] * longest * np.sqrt((x**2).sum(axis=1))
+            for q, row, margin in zip(some["vec_id"].tolist(), x @ c.T, margins.tolist(), strict=True):
                 # Distinct vectors, ties at the end all included; rounding of the product leaves a margin for the exact pass.
                 if len(row) > k + 1:
                     least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    best = np.flatnonzero(row >= least - 1e-9 * max(abs(least), 1e-300))
+                    best = np.flatnonzero(row >= least - margin)
                 else:
                     best = np.arange(len(row))
                 out.extend((q, i, j) for j in best.tolist() for i in ids[j].tolist() if i != q)

@@ -193,13 +193,14 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels of both kinds each row gets their rate, or 0.5. A null text counts as empty. Repeated rows stay. Other columns are not read.
     """
     seen = viewed(documents, labels, SAMPLE)
-    shared = documents.sparkSession.sparkContext.broadcast(learn(seen))  # TEXT + META weights
+    model = learn(seen)
+    shared = documents.sparkSession.sparkContext.broadcast((model.text, model.meta, model.mix))  # TEXT + META weights; plain values, as executors need not have this package
 
     @F.pandas_udf("double")
     def score(text: pd.Series, meta: pd.Series) -> pd.Series:
-        m = shared.value
-        a, b = (margins(x, *indices(v.tolist()), len(v)) for x, v in ((m.text, text), (m.meta, meta)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(m.mix[0] * a + m.mix[1] * b + m.mix[2], -40, 40))))
+        of_text, of_meta, mix = shared.value
+        a, b = (margins(x, *indices(v.tolist()), len(v)) for x, v in ((of_text, text), (of_meta, meta)))
+        return pd.Series(1 / (1 + np.exp(-np.clip(mix[0] * a + mix[1] * b + mix[2], -40, 40))))
 
     rows = seen.select("doc_id", score("v.text", "v.meta").alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, modest_batches
+from .common import checkpointed, components, fresh, modest_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -145,12 +145,14 @@ def grouped(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document of the least doc_id of each component, once even if its row is repeated. A null doc_id stays: nothing tells which of its group it is."""
-    groups = grouped(documents)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    stay = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(documents.where("doc_id is null"))
+    """The document of the least doc_id of each component, once even if its row is repeated; of rows of that doc_id with different texts one of the least text. A null doc_id stays: nothing tells which of its group it is."""
+    kept = grouped(documents).where("doc_id = component_id").select("doc_id").distinct()
+    (rank,) = fresh(documents, "rank")
+    stay = documents.join(kept, "doc_id", "left_semi")
+    stay = stay.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).drop(rank)
+    return stay.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
 def report(documents: DataFrame) -> DataFrame:
+    """grouped() with the fingerprint as 16 hex digits: doc_id, fingerprint, component_id."""
     return grouped(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Query parameters that do not tell pages apart.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 #: Header fields of a not-modified answer that replace those of the stored response. Others, such as Content-Length, stay as they were.
@@ -42,30 +44,33 @@ def resolve_revisits(records: DataFrame, block: int = BLOCK) -> DataFrame:
     A revisit is looked up in its own time block by a window over URL and block. For earlier blocks, the latest response of each is one
     row, and a window over these finds the latest before; so no task holds all captures of a URL.
     """
-    base = records.withColumn("_key", canonical_url(F.col("url"))).withColumn("_block", F.floor(F.col("ts") / block))
-    usable = F.col("_key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    # Every join is on tables of this function's own names; the rows themselves come back last, by their id.
+    headers = F.col("headers")
+    base = records.select(canonical_url(F.col("url")).alias("key"), F.floor(F.col("ts") / block).alias("block"), "ts", "record_id", "kind", "http_status", headers.alias("headers"))
+    usable = F.col("key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     full = base.where(usable & (F.col("kind") == "response") & (F.col("http_status") == 200))
-    revisits = base.where((F.col("kind") == "revisit") & (F.col("http_status") == 304))
-    points = full.select("_key", "_block", "ts", "record_id", F.lit(True).alias("_full")).union(revisits.where(usable).select("_key", "_block", "ts", "record_id", F.lit(False)))
+    again = (F.col("kind") == "revisit") & (F.col("http_status") == 304)
+    points = full.select("key", "block", "ts", "record_id", F.lit(True).alias("full")).union(base.where(again & usable).select("key", "block", "ts", "record_id", F.lit(False)))
     moment = F.struct("ts", "record_id")
-    inside = Window.partitionBy("_key", "_block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    seen = points.withColumn("_near", F.max(F.when(F.col("_full"), moment)).over(inside)).where(~F.col("_full"))
-    ends = full.groupBy("_key", "_block").agg(F.max(moment).alias("_last")).select("_key", "_block", "_last")
-    asked = seen.where("_near is null").select("_key", "_block").distinct().withColumn("_last", F.lit(None).cast(ends.schema["_last"].dataType))
-    before = Window.partitionBy("_key").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
-    earlier = ends.union(asked).withColumn("_far", F.max("_last").over(before)).where("_far is not null").groupBy("_key", "_block").agg(F.max("_far").alias("_far"))
-    found = seen.join(earlier, ["_key", "_block"], "left").select(F.col("record_id").alias("_id"), F.coalesce("_near", "_far")["record_id"].alias("_response"))
-    stored = full.select(F.col("record_id").alias("_response"), F.col("headers").alias("_stored"))
-    out = revisits.join(found.where("_response is not null").join(stored, "_response"), F.col("record_id") == F.col("_id"), "left")
-    old = lambda name: F.col("_stored")[name]
-    new = lambda name: F.col("headers")[name]
+    inside = Window.partitionBy("key", "block").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    seen = points.withColumn("near", F.max(F.when(F.col("full"), moment)).over(inside)).where(~F.col("full"))
+    ends = full.groupBy("key", "block").agg(F.max(moment).alias("last")).select("key", "block", "last")
+    asked = seen.where("near is null").select("key", "block").distinct().withColumn("last", F.lit(None).cast(ends.schema["last"].dataType))
+    before = Window.partitionBy("key").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = ends.union(asked).withColumn("far", F.max("last").over(before)).where("far is not null").groupBy("key", "block").agg(F.max("far").alias("far"))
+    rid, response, stored = fresh(records, "id", "response", "stored")
+    found = seen.join(earlier, ["key", "block"], "left").select(F.col("record_id").alias(rid), F.coalesce("near", "far")["record_id"].alias(response)).where(F.col(response).isNotNull())
+    found = found.join(full.select(F.col("record_id").alias(response), F.col("headers").alias(stored)), response)
+    out = records.where(again).join(found, F.col("record_id") == F.col(rid), "left")
+    old = lambda name: F.col(stored)[name]
+    new = lambda name: headers[name]
     both = lambda name: old(name).isNotNull() & new(name).isNotNull()
-    status = F.when(F.col("_response").isNull(), "no_earlier").when(both("etag"), F.when(weak(old("etag")) == weak(new("etag")), "resolved").otherwise("validator_mismatch"))
+    status = F.when(F.col(response).isNull(), "no_earlier").when(both("etag"), F.when(weak(old("etag")) == weak(new("etag")), "resolved").otherwise("validator_mismatch"))
     status = status.when(both("last-modified"), F.when(old("last-modified") == new("last-modified"), "resolved").otherwise("validator_mismatch")).otherwise("no_validator")
     over = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("_stored", lambda k, v: ~F.coalesce(F.map_contains_key(over, k), F.lit(False))), over)
+    merged = F.map_concat(F.map_filter(stored, lambda k, v: ~F.coalesce(F.map_contains_key(over, k), F.lit(False))), over)
     own = [c for c in records.columns if c not in ("status", "response_id", "merged_headers")]
-    return out.withColumn("_status", status).select(*own, F.col("_status").alias("status"), F.col("_response").alias("response_id"), F.when(F.col("_status") == "resolved", merged).alias("merged_headers"))
+    return out.select(*own, status.alias("status"), F.col(response).alias("response_id"), F.when(status == "resolved", merged).alias("merged_headers"))
 
 
 def records_of(pages: DataFrame) -> DataFrame:

@@ -170,8 +170,7 @@ def test_substrings(rows, documents, monkeypatch, in_memory):
 
 def test_lines(rows, documents):
     distinct = list(dict.fromkeys(x for r in rows[0] if r[0] is not None and r[1] is not None for x in r[1].split("\n") if x.strip(" ")))
-    units = [x.encode("utf-16-be") for x in distinct]
-    sets = [{u[2 * i : 2 * i + 20] for i in range(len(u) // 2 - 9)} for u in units]
+    sets = [{x[i : i + 10] for i in range(len(x) - 9)} for x in distinct]
     root = list(range(len(distinct)))
     for i, j in itertools.combinations(range(len(distinct)), 2):
         if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
@@ -292,6 +291,54 @@ def test_warc(spark):
     }
 
 
+def test_lines_of_one_large_bucket(spark):
+    """800 lines that share a head of 200 characters: pairs that differ in their last character are similar, others aren't."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = own(200)
+    texts = [x for _ in range(400) for a in [head + own(60)] for x in (a, a[:-1] + "-")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lines.line_groups(lines.split_lines(docs))
+    assert groups.select("root").distinct().count() == 400 and groups.count() == 800
+
+
+def test_columns_of_the_operators_own_names(spark, rows, benchmark):
+    docs = spark.createDataFrame([(1, f"x {rows[1]}", 1, 2, 3, 4, 5, 6, 7), (2, "a line that is here twice\nb", 1, 2, 3, 4, 5, 6, 7), (3, "a line that is here twice", 1, 2, 3, 4, 5, 6, 7)], "doc_id long, text string, _doc int, _id int, _tid int, _cut int, _gone int, _chars int, _rank int")
+    assert [tuple(r) for r in decontaminate.clean_documents(docs, benchmark).orderBy("doc_id").collect()] == [tuple(r) for r in docs.where("doc_id > 1").orderBy("doc_id").collect()]
+    assert [tuple(r)[1:] for r in lines.deduplicated(docs).orderBy("doc_id").collect()] == [(f"x {rows[1]}", 1, 2, 3, 4, 5, 6, 7), ("a line that is here twice\nb", 1, 2, 3, 4, 5, 6, 7), ("", 1, 2, 3, 4, 5, 6, 7)]
+    assert simhash.keep_one(docs).columns == docs.columns
+    records = spark.createDataFrame([(1, "http://a/", 10, "response", 200, {"etag": "1"}, "k", 1, 2, 3, 4), (2, "http://a/", 20, "revisit", 304, {"etag": "1"}, "k", 1, 2, 3, 4)], "record_id long, url string, ts long, kind string, http_status int, headers map<string,string>, _key string, _block int, _id int, _response int, _stored int")
+    got = warc.resolve_revisits(records).collect()
+    assert [tuple(r) for r in got] == [(2, "http://a/", 20, "revisit", 304, {"etag": "1"}, "k", 1, 2, 3, 4, "resolved", 1, {"etag": "1"})]
+
+
+def test_keep_one_of_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "b c d"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} <= {(1, "a b c"), (2, "a b c")}
+
+
+def test_scan_without_broadcast(documents, benchmark):
+    key = lambda r: str(tuple(r))
+    assert sorted(decontaminate.scan(documents, benchmark, broadcast_bytes=0).collect(), key=key) == sorted(decontaminate.scan(documents, benchmark).collect(), key=key)
+
+
+def test_license_spans(spark):
+    docs = spark.createDataFrame([(1, "under the general public license here")], "doc_id long, text string")
+    (span,) = licenses.scan(docs).first()["spans"]
+    assert (span["label"], span["start"], span["len"]) == ("gpl", 2, 3)
+
+
+def test_label_model_sees_no_labels():
+    """Voters of different accuracy, one of them twice: the posteriors find the hidden kind of nearly all rows from the votes alone."""
+    rng = np.random.default_rng(3)
+    hidden = rng.random(4000) < 0.15
+    votes = np.column_stack([np.where(hidden, rng.random(4000) < hit, rng.random(4000) < 0.02) for hit in (0.8, 0.7, 0.6, 0.6, 0.5)])
+    votes = np.column_stack([votes, votes[:, 4]])
+    post, accuracies, discounts = toxicity.label_model(votes)
+    assert np.mean((post > 0.5) == hidden) > 0.95 and abs(accuracies[0, 0] - 0.8) < 0.1
+    assert discounts[5] < 0.8 and discounts[0] > discounts[5]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     items = spark.createDataFrame([], "item_id long, text string")
