@@ -102,10 +102,16 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
     """
     of = checkpointed(large.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "keys", "line"))
     keyed = of.select("h", "root", F.explode("keys").alias("key"), F.char_length("line").alias("chars"))
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.least(F.ceil(F.sum("chars") / CHUNK), F.count("*")).cast("int").alias("chunks")).where("r != s").select("key", "chunks")
-    keyed = keyed.join(mixed, "key").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("key", "chunks"))).alias("in"))  # BANDS buckets at most
+    groups = keyed.groupBy("key", "root").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    # Of a bucket of several groups: the largest one, and chunks of its lines and of the others. Lines of the largest only meet the others.
+    mixed = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "chars"))["chars"].alias("most"), F.sum("chars").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = mixed.select("key", "main", F.ceil((F.col("all") - F.col("most") + 1) / CHUNK).cast("int").alias("others"), F.ceil((F.col("most") + 1) / CHUNK).cast("int").alias("mains"))
+    keyed = keyed.join(mixed, "key").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("key", "main", "others", "mains"))).alias("in"))  # BANDS buckets at most
     rows = of.select("h", "root", "line").join(keyed, "h").select("h", "root", F.col("in.key").alias("keys"), "line", F.inline("in"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = lambda n: F.pmod(F.xxhash64("h"), F.col(n).cast("long")).cast("int")
+    is_main = F.col("root") == F.col("main")
+    rows = rows.withColumn("own", F.when(is_main, F.col("others") + part("mains")).otherwise(part("others")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
     line = F.struct("h", "root", "keys", "line", "own")
     each = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
     # Each chunk meets itself as (i, i) and every other one once.
