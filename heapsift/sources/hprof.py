@@ -13,6 +13,7 @@ import struct
 import sys
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -96,6 +97,21 @@ def _member(archive: tarfile.TarFile) -> io.BufferedIOBase:
     raise DumpError("no dump in the tar archive")
 
 
+def whole(f, n: int | None) -> bytes:
+    """n bytes, or all that are left; fewer where the stream ends, also where a packed one is cut."""
+    parts, left = [], n
+    while left is None or left > 0:
+        try:
+            part = f.read(min(left, 1 << 20) if left is not None else 1 << 20)
+        except (EOFError, zlib.error):
+            break
+        if not part:
+            break
+        parts.append(part)
+        left = None if left is None else left - len(part)
+    return b"".join(parts)
+
+
 def header(f) -> tuple[str, int, int, int]:
     """Format, id size, milliseconds, bytes of the header."""
     raw = b""
@@ -318,10 +334,10 @@ class HprofReader(DataSourceReader):
             at += size
 
     def stream(self, f, decoder: Decoder, at: int) -> Iterator[tuple]:
-        while len(head := f.read(9)) == 9:
+        while len(head := whole(f, 9)) == 9:
             tag, _, n = struct.unpack(">BII", head)
             at += 9
-            body = f.read() if n == 0 and tag in (HEAP, SEGMENT) else f.read(n)
+            body = whole(f, None if n == 0 and tag in (HEAP, SEGMENT) else n)
             if tag in (HEAP, SEGMENT):
                 yield from self.segment(body, decoder, at)
             elif len(body) == n and (x := decoder.top(tag, body, at)) and x[0] == self.table:

@@ -123,3 +123,12 @@ def test_pieces_and_missing_end(spark, tmp_path):
     path.write_bytes(b"something else")
     with pytest.raises(Exception, match="not a heap dump"):
         hprof.table(spark, str(path), "meta").collect()
+
+
+def test_cut_gzip(spark, tmp_path):
+    """A packed dump that is cut gives the records before the cut."""
+    raw = sample()
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(raw, mtime=0)[:-12])
+    (tmp_path / "all.gz").write_bytes(gzip.compress(raw, mtime=0))
+    cut, all_ = (hprof.table(spark, str(tmp_path / f), "symbols").collect() for f in ("cut.gz", "all.gz"))
+    assert cut == all_[: len(cut)] and len(cut) > 0
