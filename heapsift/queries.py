@@ -165,7 +165,10 @@ def suspects(spark, sf):
     return summary.suspects(h.tables, h.reached, h.tree, 10.0)
 
 
-@query()
+@query(f"""with recursive {TREE}, big as materialized (select idom, obj child, retained held from (select d.idom, d.obj, retained, row_number() over (partition by d.idom order by retained desc, d.obj) n from d join ret using (obj) where d.idom != 0) where n = 1),
+tops as materialized (select obj, retained from d join ret using (obj) where idom = 0 order by retained desc, obj limit 5),
+w as (select obj as "start", obj, retained, 0::int hops from tops union all select w."start", child, held, hops + 1 from w join big on big.idom = w.obj where 4 * held >= 3 * w.retained)
+select "start", obj, retained, hops from (select *, row_number() over (partition by "start" order by hops desc) n from w) where n = 1""")
 def descents(spark, sf):
     h = heap(spark, sf)
     return graph.descend(h.tree, graph.top_level(h.tree, 5).select("obj"))
