@@ -24,7 +24,9 @@ STRIDE = 4
 #: Lines of a bucket that are all compared with each other at once; in a larger one each is first compared with REPRESENTATIVES lines.
 PAIRED, REPRESENTATIVES = 16, 2
 #: Characters of the lines of a large bucket's chunk; each pair of chunks is compared as one row.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
+#: Longs of parity bits of a line.
+LANES = 16
 
 
 def constant(name: str) -> int:
@@ -79,19 +81,20 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
 
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILAR or more. Dealt by both lines, so that one of very many pairs is no single task's."""
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILAR or more. The skew join splits a line of very many pairs."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     # As lambdas over one element, so that sets and counts are each worked out once however often they are used.
     one = F.array(F.struct(shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t")))
     counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
-    return dealt(both, "a", "b").where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
+    return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
 
 
-def parity(s: Column) -> Column:
-    """Four longs of bits, each the parity of the hashes that fall on it: two sets differ in at least as many elements as these differ in bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    lane = lambda k: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, acc.bitwiseXOR(bit(x))).otherwise(acc))
-    return F.array(*[lane(k) for k in range(4)])
+def sketched(lines: DataFrame) -> DataFrame:
+    """h, size (of its set of shingles) and bits of each line (h, line): LANES longs of bits, each the parity of the hashes that fall on it. Two sets differ in at least as many elements as these differ in bits."""
+    rows = lines.select("h", F.explode(shingles(F.col("line"))).alias("g")).select("h", F.xxhash64("g").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    lane = F.shiftright("x", 6).bitwiseAND(F.lit(LANES - 1))
+    return rows.groupBy("h").agg(F.count("*").cast("int").alias("size"), F.array(*[F.coalesce(F.bit_xor(F.when(lane == k, bit)), F.lit(0).cast("long")) for k in range(LANES)]).alias("bits"))
 
 
 def across(large: DataFrame, roots: DataFrame) -> DataFrame:
@@ -100,28 +103,29 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
     Of a pair that shares several buckets the least key's compares it. A pair is dropped unseen only where it can't be similar: by the sizes
     of its sets, or by bits that are never more than the elements in which they differ.
     """
-    of = checkpointed(large.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "keys", "line"))
+    of = large.join(roots, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("root"), "keys", "line")
+    of = checkpointed(of.join(sketched(large.select("h", "line")), "h"))
     keyed = of.select("h", "root", F.explode("keys").alias("key"), F.char_length("line").alias("chars"))
     groups = keyed.groupBy("key", "root").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
     # Of a bucket of several groups: the largest one, and chunks of its lines and of the others. Lines of the largest only meet the others.
     mixed = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "chars"))["chars"].alias("most"), F.sum("chars").alias("all"), F.count("*").alias("groups")).where("groups > 1")
     mixed = mixed.select("key", "main", F.ceil((F.col("all") - F.col("most") + 1) / CHUNK).cast("int").alias("others"), F.ceil((F.col("most") + 1) / CHUNK).cast("int").alias("mains"))
     keyed = keyed.join(mixed, "key").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("key", "main", "others", "mains"))).alias("in"))  # BANDS buckets at most
-    rows = of.select("h", "root", "line").join(keyed, "h").select("h", "root", F.col("in.key").alias("keys"), "line", F.inline("in"))
+    rows = of.drop("keys").join(keyed, "h").select("h", "root", F.col("in.key").alias("keys"), "line", "size", "bits", F.inline("in"))
     part = lambda n: F.pmod(F.xxhash64("h"), F.col(n).cast("long")).cast("int")
     is_main = F.col("root") == F.col("main")
     rows = rows.withColumn("own", F.when(is_main, F.col("others") + part("mains")).otherwise(part("others")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
-    line = F.struct("h", "root", "keys", "line", "own")
+    line = F.struct("h", "root", "keys", "line", "size", "bits", "own")
     each = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
     # Each chunk meets itself as (i, i) and every other one once.
     blocks = dealt(each, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
     hashed = F.transform("xs", lambda x: x.withField("s", F.transform(shingles(x["line"]), lambda g: F.xxhash64(g))).dropFields("line"))
-    blocks = blocks.select("key", "i", "j", F.transform(hashed, lambda x: x.withField("size", F.size(x["s"])).withField("bits", parity(x["s"]))).alias("xs"))
+    blocks = blocks.select("key", "i", "j", hashed.alias("xs"))
 
     def alike(x: Column, y: Column) -> Column:
         both = x["size"] + y["size"]
-        apart = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(4)), F.lit(0))
+        apart = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(LANES)), F.lit(0))
         shared = F.size(F.array_intersect(x["s"], y["s"]))
         # Similarity s of sets of n elements together: s (n - shared) <= shared, so they differ in n (1 - s) / (1 + s) at most.
         may = (x["root"] != y["root"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & (apart * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6)
