@@ -138,7 +138,8 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked(lines: DataFrame) -> DataFrame:
     """node and root of each line that is linked to another: the groups that all similar pairs of lines that share a band hold together."""
-    distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
+    # Shorter lines have no shingle and are linked only if equal.
+    distinct = lines.where(F.char_length("line") >= SHINGLE).groupBy("h").agg(F.first("line").alias("line"))
     members = bucketed(signatures(distinct))
     # One job, so that the signatures are worked out and the texts dealt once: the similar pairs, and the lines of large buckets for what is left apart.
     near = similar(candidates(members), distinct).select("a", "b", F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("string").alias("line"))
