@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import contents, fields, graph, loaders, summary
+from .operators import contents, fields, graph, loaders, summary, views
 from .oracles import TABLES, TREE, grouped
 from .plans.heap import Heap
 from .sources import relational
@@ -232,12 +234,12 @@ def duplicate_strings(spark, sf):
     return contents.duplicate_strings(strings(spark, sf)).select(F.md5("text").alias("text_md5"), "copies", "wasted")
 
 
-@query("""with a as (select page_id array_, md5(substr(html, 1, 400)) content, strlen(substr(html, 1, 400))::bigint bytes from pages union all select 1000000000 + doc_id, md5(text), strlen(text)::bigint from documents where text is not null)
+@query("""with a as (select page_id array_, md5(html) content, strlen(html)::bigint bytes from pages union all select 1000000000 + doc_id, md5(text), strlen(text)::bigint from documents where text is not null)
 select content, count(*) copies, (sum(bytes) - arg_min(bytes, array_))::bigint wasted from a group by content having count(*) > 1""")
 def duplicate_arrays(spark, sf):
-    """Arrays by their contents: the heads of pages, and the bytes of documents."""
-    heads = read(spark, sf, "pages").select(F.col("page_id").alias("array"), F.substring("html", 1, 400).alias("body"))
-    rows = heads.union(read(spark, sf, "documents").where("text is not null").select(F.col("doc_id") + 1_000_000_000, "text"))
+    """Arrays by their contents: the bytes of pages and of documents."""
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("array"), F.col("html").alias("body"))
+    rows = pages.union(read(spark, sf, "documents").where("text is not null").select(F.col("doc_id") + 1_000_000_000, "text"))
     return contents.duplicate_arrays(rows.select("array", F.md5("body").alias("content"), F.octet_length("body").cast("long").alias("bytes")))
 
 
@@ -253,9 +255,12 @@ def find_text(spark, sf):
     return contents.find_text(strings(spark, sf), "MIT License").select("obj", F.md5("text").alias("text_md5"))
 
 
-@query("select p_partkey obj from part where p_size::varchar = '7'")
+@query("select p_partkey obj from part where p_size = 7")
 def where_field(spark, sf):
-    return read(spark, sf, "part").where(F.col("p_size").cast("string") == "7").select(F.col("p_partkey").alias("obj"))
+    """Parts as objects with a field size, which a superclass declares too."""
+    part = read(spark, sf, "part")
+    field = lambda depth, n: part.select(F.col("p_partkey").alias("obj"), F.lit("goods.Part").alias("class"), F.lit("size").alias("field"), F.lit(depth).alias("depth"), X.value_text("int", n).alias("text"))
+    return views.where(field(0, F.col("p_size")).union(field(1, F.lit(7))), "=Part.size= 7")
 
 
 @query("select distinct p_type as name from part where regexp_full_match(lower(p_type), '.*s.{1}.*') or lower(p_type) = 'small'")
@@ -351,3 +356,103 @@ def report_json(spark, sf):
     from .plans.report import View, as_json
 
     return spark.createDataFrame([(as_json(heap(spark, sf), View()),)], "report string")
+
+
+# Closer looks
+
+
+@query(f"with recursive {TREE} select obj, coalesce(retained, 0)::bigint retained from oc left join ret using (obj) where name = 'trade.Customer' order by 2 desc, 1 limit 50")
+def instances_by_retained(spark, sf):
+    h = heap(spark, sf)
+    return views.instances_by_retained(h.tables, h.tree, "trade.Customer", 50)
+
+
+@query(f"with recursive {TREE}, x as (select src, min(label) label from e where dst = {7 * SCALE} + 1 group by src) select src, label, null::bigint elem, retained from x join ret on ret.obj = src order by retained desc, src limit 10")
+def referrer_objects(spark, sf):
+    h = heap(spark, sf)
+    return views.referrer_objects(h.tables, h.tree, 7 * SCALE + 1, 10)
+
+
+@query(f"""with recursive {TREE}, part_ as (select {SCALE} + 1 obj, 0::bigint idom, 0 "level" union all select d.obj, d.idom, "level" + 1 from part_ join d on d.idom = part_.obj where "level" < 3),
+x as (select *, "level" = 0 or "level" < 3 and retained >= 5000 shown from part_ join ret using (obj)),
+hid as (select idom obj, count(*) hidden, sum(retained)::bigint hidden_bytes from x where not shown group by idom)
+select obj, case when "level" = 0 then 0 else idom end idom, "level", retained, coalesce(hidden, 0)::bigint hidden, coalesce(hidden_bytes, 0)::bigint hidden_bytes from x left join hid using (obj) where shown""")
+def dominator_part(spark, sf):
+    return views.tree_part(heap(spark, sf).tree, SCALE + 1, 3, 5000)
+
+
+@query(f"""select {2 * SCALE} + n_nationkey target, 'geo.Region .nations geo.Nation' as "key" from nation union all select {3 * SCALE} + c_custkey, 'geo.Region .nations geo.Nation .customers trade.Customer' from customer""")
+def path_keys(spark, sf):
+    h = heap(spark, sf)
+    targets = h.tables.objects.where("class_id in (2, 3)").select("obj")
+    return views.path_keys(h.tables, graph.root_paths(h.tables.edges, h.reached, targets))
+
+
+@query(f"""with x as (select c_custkey k, c_nationkey, count(o_orderkey) filled, (1000 + c_custkey % 50)::bigint capacity from customer left join orders on o_custkey = c_custkey group by all)
+select {3 * SCALE} + k obj, filled, capacity, ((capacity - filled) * 8)::bigint wasted from x where capacity >= 1024 and 2 * filled < capacity and c_nationkey % 3 != 0""")
+def sparse_arrays(spark, sf):
+    """Customers as arrays of their orders, with more slots; every third nation is a collection."""
+    h = heap(spark, sf)
+    key = F.col("obj") % SCALE
+    arrays = h.tables.objects.where("class_id = 3").withColumn("kind", F.lit("object_array")).withColumn("len", 1000 + key % 50)
+    edges = h.tables.edges.where("label = 'orders'").withColumn("elem", F.col("ord"))
+    return views.sparse_arrays(replace(h.tables, objects=arrays, edges=edges), h.tree, h.tables.objects.where((F.col("class_id") == 2) & (key % 3 == 0)))
+
+
+@query("select doc_id obj from documents where text is not null and doc_id % 2 = 1 and doc_id % 5 != 0 and ((strlen(text) + 16 + 7) // 8) * 8 >= 32")
+def hashable_arrays(spark, sf):
+    """Documents as byte arrays; strings own those of even ids, and every fifth isn't reached."""
+    h, s = heap(spark, sf), strings(spark, sf).where("text is not null")
+    arrays = s.select("obj", F.lit("primitive_array").alias("kind"), (F.col("bytes") - 24).alias("shallow"))
+    return views.hashable_arrays(replace(h.tables, objects=arrays), s.where("obj % 5 != 0").select("obj"), s.where("obj % 2 = 0").select("array"))
+
+
+@query("""with b as (select s_suppkey k, s_nationkey * 1024 capacity, s_suppkey % 4 = 0 v, s_suppkey % 3 = 0 m from supplier)
+select count(*) filter (v) views, count(*) filter (not v) buffers, coalesce(sum(capacity) filter (not v), 0)::bigint capacity, count(*) filter (not v and m) mapped, coalesce(sum(capacity) filter (not v and m), 0)::bigint mapped_bytes from b""")
+def direct_buffers(spark, sf):
+    """Suppliers as buffers: every fourth is a view, every third a mapped file."""
+    b = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("obj"), (F.col("s_nationkey") * 1024).cast("long").alias("capacity"))
+    edges = b.where("obj % 4 = 0").select(F.col("obj").alias("src"), F.lit("att").alias("label")).union(b.where("obj % 3 = 0").select("obj", F.lit("fd")))
+    return views.direct_totals(views.direct_buffers(b, edges))
+
+
+@query("""select p_partkey id, case when p_partkey % 11 = 0 then '?' else 'goods.' || p_size end || '.' || p_name || case when p_partkey % 7 = 0 then '' else '(' || p_brand ||
+ case p_partkey % 4 when 0 then ':' || p_size when 1 then ' compiled' when 2 then ' native' else '' end || ')' end as text from part""")
+def stack_frames(spark, sf):
+    """Parts as frames: classes by size, of which some are unknown, methods by name, sources by brand."""
+    part = read(spark, sf, "part")
+    k = F.col("p_partkey").cast("long")
+    rows = part.select(k.alias("id"), k.alias("method_sym"), F.when(k % 7 != 0, SCALE + k).alias("source_sym"), F.when(k % 11 != 0, F.col("p_size")).cast("long").alias("class_serial"), F.when(k % 4 == 0, F.col("p_size")).when(k % 4 == 1, -2).when(k % 4 == 2, -3).otherwise(0).alias("line"))
+    symbols = part.select(k.alias("id"), F.col("p_name").alias("text")).union(part.select(SCALE + k, "p_brand"))
+    classes = part.select(F.col("p_size").cast("long").alias("serial"), F.concat(F.lit("goods."), F.col("p_size").cast("string")).alias("name")).distinct()
+    return views.frames(rows, symbols, classes)
+
+
+@query("""with x as (select o_orderkey, o_orderkey::bigint n from orders) select o_orderkey, case when n between 1 and 2047 then n end id from x""")
+def parsed_ids(spark, sf):
+    """Keys in all spellings; beyond 2047 what is no id."""
+    n = F.col("o_orderkey").cast("long")
+    hexed = F.lower(F.hex(n))
+    good = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, F.concat(F.lit(" 0x00"), hexed)).when(n % 4 == 2, F.concat(F.lit("@0X"), hexed, F.lit(" "))).otherwise(F.concat(F.lit("@@"), n.cast("string")))
+    bad = F.when(n % 4 == 0, F.concat(F.lit("0x"), F.repeat(F.lit("f"), 17))).when(n % 4 == 1, "0").when(n % 4 == 2, F.concat(F.lit("-"), n.cast("string"))).otherwise("18446744073709551616")
+    return read(spark, sf, "orders").select("o_orderkey", X.parse_id(F.when(n < 2048, good).otherwise(bad)).alias("id"))
+
+
+@query("""with x as (select o_orderkey, (o_orderkey * 250 * (o_orderkey % 40))::bigint ms, (o_orderkey - 5000)::bigint d from orders), y as (select *, (ms + 500) // 1000 s from x)
+select o_orderkey, case when ms < 1000 then ms || 'ms' when ms < 60000 then printf('%.1fs', ms / 1000.0) when s < 3600 then printf('%dm%02ds', s // 60, s % 60) else printf('%dh%02dm%02ds', s // 3600, s // 60 % 60, s % 60) end took,
+ case when d < 0 then '-' else '+' end || printf('%,d', abs(d)) change from y""")
+def durations(spark, sf):
+    n = F.col("o_orderkey").cast("long")
+    return read(spark, sf, "orders").select("o_orderkey", X.duration(n * 250 * (n % 40)).alias("took"), X.signed_count(n - 5000).alias("change"))
+
+
+@query("""select distinct case when user_id % 3 = 0 then '[]' when user_id % 3 = 1 then 'static Log.' || event_type else '.' || event_type end edge, case when user_id % 2 = 0 then 'class app.Log' else 'app.Log' end what from events""")
+def edge_texts(spark, sf):
+    u = F.col("user_id")
+    edge = X.edge_text(F.col("event_type"), F.when(u % 3 == 0, u), F.when(u % 3 == 1, "app.Log"))
+    return read(spark, sf, "events").select(edge.alias("edge"), X.kind_text(F.when(u % 2 == 0, "class").otherwise("instance"), F.lit("app.Log")).alias("what")).distinct()
+
+
+@query(ORACLES["baseline_classes"] + " order by abs(shallow_change) desc, abs(instances_change) desc, class limit 2")
+def baseline_ranked(spark, sf):
+    return views.ranked_changes(baseline_classes(spark, sf), "class", ["shallow", "instances"], 2)
