@@ -34,6 +34,17 @@ def constant(name: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df as checkpointed() gives it; the shuffle files that it took go then, and not when the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return checkpointed(df.select("*"))  # planned under this setting
+    finally:
+        conf.set(name, before)
+
+
 def split_lines(documents: DataFrame) -> DataFrame:
     """doc_id, tid (hash of the text), line_no and line, of lines that aren't blank, of rows with a doc_id."""
     docs = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tid"), F.split("text", "\n").alias("lines"))
@@ -43,7 +54,8 @@ def split_lines(documents: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """h and the bands' keys of each line (h, line) of SHINGLE characters or more."""
-    rows = lines.select("h", F.encode("line", "UTF-32").alias("units")).withColumn("last", (F.length("units") / 4 - SHINGLE).cast("int")).where("last >= 0")
+    # No filter on the length: it would encode each line once more.
+    rows = lines.select("h", F.encode("line", "UTF-32").alias("units")).select("h", "units", F.greatest((F.length("units") / 4).cast("int") - SHINGLE, F.lit(0)).alias("last"))
     rows = rows.select("h", "units", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(STRIDE))).alias("at"))
     # Past the end the last shingle comes again, which changes no minimum.
     shingle = lambda j: F.substring("units", 4 * F.least(F.col("at") + j, F.col("last")) + 1, F.lit(4 * SHINGLE))
@@ -54,25 +66,31 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def bucketed(bands: DataFrame) -> DataFrame:
-    """key, h and n, the number of the bucket's members, of buckets of several; and heads, the members that are least under REPRESENTATIVES orders that all buckets share."""
+    """key, h, n, the number of the bucket's members, of buckets of several; heads, the members that are least under REPRESENTATIVES orders that all buckets share; after, the next PAIRED - 1 members."""
     by = Window.partitionBy("key")
     # Windows rather than aggregates joined back, so that the signatures are worked out and dealt once; a window over many rows spills.
-    heads = [F.min(F.struct(F.col("h").bitwiseXOR(F.lit(constant(f"order {i}"))).alias("o"), "h")).over(by)["h"] for i in range(REPRESENTATIVES)]
-    return bands.select("key", "h").withColumn("n", F.count("*").over(by)).withColumn("heads", F.array(*heads)).where("n > 1")
+    rows = bands.select("key", "h").withColumn("n", F.count("*").over(by)).where("n > 1")
+    orders = [F.lit(constant(f"order {i}")) for i in range(REPRESENTATIVES)]
+    heads = F.array(*[F.min(F.col("h").bitwiseXOR(o)).over(by).bitwiseXOR(o) for o in orders])
+    return rows.withColumn("heads", heads).withColumn("after", F.collect_list("h").over(by.orderBy("h").rowsBetween(1, PAIRED - 1)))
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Pairs a < b of lines to compare first: all of a bucket of PAIRED members at most, in a larger one each with the heads. across() compares what these leave apart."""
-    star = members.where(F.col("n") > PAIRED).select("h", F.explode("heads").alias("g"))
-    small = members.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("h").alias("hs"))  # PAIRED at most
-    pairs = small.select("hs", F.posexplode("hs").alias("i", "h")).select("h", F.explode(F.slice("hs", F.col("i") + 2, F.lit(PAIRED))).alias("g"))
-    both = star.union(pairs).where("h != g")
-    return both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    """Pairs a < b of lines to compare first: all of a bucket of PAIRED members at most, in a larger one each with the heads. across() compares what these leave apart.
+
+    A line of large buckets also comes as a pair with itself, with their keys; so the buckets are worked out once for both.
+    """
+    large = F.col("n") > PAIRED
+    both = members.select("key", "h", "n", F.explode(F.when(large, F.concat("heads", F.array("h"))).otherwise(F.col("after"))).alias("g")).where(large | (F.col("h") != F.col("g")))
+    both = both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"), F.when(F.col("h") == F.col("g"), F.col("key")).alias("key"))
+    return both.groupBy("a", "b").agg(F.collect_set("key").alias("keys"))  # BANDS at most
 
 
 def shingles(line: Column) -> Column:
-    """The distinct shingles of a line; by a pattern that matches nothing and looks ahead, as that is faster than a function of places."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    """The hashes of a line's shingles, repeats included. As lambdas over one element, so that a line is encoded once and not for each place."""
+    last = lambda units: F.greatest(F.length(units) - (4 * SHINGLE - 1), F.lit(1))
+    hashes = lambda units: F.transform(F.sequence(F.lit(1), last(units), F.lit(4)), lambda at: F.xxhash64(F.substring(units, at, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), hashes)[0]
 
 
 def dealt(df: DataFrame, *by: str) -> DataFrame:
@@ -81,17 +99,24 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
 
 
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILAR or more. The skew join splits a line of very many pairs."""
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILAR or more; of a line paired with itself a, keys and line, with no b. The skew join splits a line of very many pairs."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # As lambdas over one element, so that sets and counts are each worked out once however often they are used.
-    one = F.array(F.struct(shingles(F.col("x")).alias("s"), shingles(F.col("y")).alias("t")))
-    counts = F.transform(one, lambda p: F.struct(F.size(F.array_intersect(p["s"], p["t"])).alias("shared"), (F.size(p["s"]) + F.size(p["t"])).alias("both")))
-    return both.where(F.exists(counts, lambda q: q["shared"] >= SIMILAR * (q["both"] - q["shared"]))).select("a", "b")
+    alone = F.col("a") == F.col("b")
+    # As rows of one element, for a filter on plain columns would be pushed down and work out the hashes at each use.
+    swap = F.octet_length("x") < F.octet_length("y")
+    of = lambda c, d: F.when(~alone, shingles(F.when(swap, F.col(d)).otherwise(F.col(c))))
+    both = both.select("a", "b", "keys", "x", F.inline_outer(F.array(F.struct(of("x", "y").alias("s"), of("y", "x").alias("t")))))
+    # What either set lacks of the other, the longer line's first, decides as soon as it can: a set has as many elements as its array at most.
+    less = lambda s, t: F.explode_outer(F.array(F.size(F.array_except(s, t))))
+    enough = lambda n: (n - F.col("m")) * (1 - SIMILAR) >= SIMILAR * (F.col("m") + F.col("k")) - 1e-6
+    both = both.select("*", less("s", "t").alias("m")).where(alone | (F.col("m") <= (1 - SIMILAR) * F.size("s") + 1e-6))
+    both = both.select("*", less("t", "s").alias("k")).where(alone | (enough(F.size("s")) & enough(F.size(F.array_distinct("s")))))
+    return both.select("a", F.when(~alone, F.col("b")).alias("b"), F.when(alone, F.col("keys")).alias("keys"), F.when(alone, F.col("x")).alias("line"))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
     """h, size (of its set of shingles) and bits of each line (h, line): LANES longs of bits, each the parity of the hashes that fall on it. Two sets differ in at least as many elements as these differ in bits."""
-    rows = lines.select("h", F.explode(shingles(F.col("line"))).alias("g")).select("h", F.xxhash64("g").alias("x"))
+    rows = lines.select("h", F.explode_outer(F.array_distinct(shingles(F.col("line")))).alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
     lane = F.shiftright("x", 6).bitwiseAND(F.lit(LANES - 1))
     return rows.groupBy("h").agg(F.count("*").cast("int").alias("size"), F.array(*[F.coalesce(F.bit_xor(F.when(lane == k, bit)), F.lit(0).cast("long")) for k in range(LANES)]).alias("bits"))
@@ -120,16 +145,18 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
     each = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), line.alias("x"))
     # Each chunk meets itself as (i, i) and every other one once.
     blocks = dealt(each, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
-    hashed = F.transform("xs", lambda x: x.withField("s", F.transform(shingles(x["line"]), lambda g: F.xxhash64(g))).dropFields("line"))
+    hashed = F.transform("xs", lambda x: x.withField("s", shingles(x["line"])).dropFields("line"))
     blocks = blocks.select("key", "i", "j", hashed.alias("xs"))
 
     def alike(x: Column, y: Column) -> Column:
         both = x["size"] + y["size"]
-        apart = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(LANES)), F.lit(0))
+        apart = lambda n: sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(n)), F.lit(0))
         shared = F.size(F.array_intersect(x["s"], y["s"]))
         # Similarity s of sets of n elements together: s (n - shared) <= shared, so they differ in n (1 - s) / (1 + s) at most.
-        may = (x["root"] != y["root"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"])) & (apart * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6)
+        may = (x["root"] != y["root"]) & ((F.col("i") == F.col("j")) | (x["own"] != y["own"]))
         may &= F.least(x["size"], y["size"]) >= SIMILAR * F.greatest(x["size"], y["size"]) - 1e-6
+        for n in (LANES // 2, LANES):  # half of the bits mostly tell already
+            may &= apart(n) * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6
         return (x["h"] < y["h"]) & may & (F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")) & (shared * (1 + SIMILAR) >= SIMILAR * both - 1e-6)
 
     pairs = F.flatten(F.transform("xs", lambda x: F.transform(F.filter("xs", lambda y: alike(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
@@ -138,23 +165,23 @@ def across(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked(lines: DataFrame) -> DataFrame:
     """node and root of each line that is linked to another: the groups that all similar pairs of lines that share a band hold together."""
-    # Shorter lines have no shingle and are linked only if equal.
-    distinct = lines.where(F.char_length("line") >= SHINGLE).groupBy("h").agg(F.first("line").alias("line"))
-    members = bucketed(signatures(distinct))
+    # Shorter lines have no shingle and are linked only if equal. A character has four bytes at most; to count bytes is faster.
+    distinct = lines.where((F.octet_length("line") >= 4 * SHINGLE) | (F.char_length("line") >= SHINGLE)).groupBy("h").agg(F.first("line").alias("line"))
     # One job, so that the signatures are worked out and the texts dealt once: the similar pairs, and the lines of large buckets for what is left apart.
-    near = similar(candidates(members), distinct).select("a", "b", F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("string").alias("line"))
-    large = members.where(F.col("n") > PAIRED).groupBy("h").agg(F.collect_list("key").alias("keys"))  # BANDS at most
-    found = checkpointed(near.union(large.join(distinct, "h").select("h", F.lit(None).cast("long"), "keys", "line")))
+    found = released(similar(candidates(bucketed(signatures(distinct))), distinct))
     roots = components(found.where("b is not null"))
-    rest = checkpointed(across(found.where("b is null").select(F.col("a").alias("h"), "keys", "line"), roots))
+    rest = released(across(found.where("b is null").select(F.col("a").alias("h"), "keys", "line"), roots))
     return roots if rest.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """For each line that occurs more than once, in equal or similar form: h, root (the group's), keeper (the least doc_id that holds one of the group)."""
     roots = linked(lines)
-    own = lines.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    own = own.join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "least", "n")
+    # The roots are put among the lines, as a join would sort all of them; and few lines are left, so that they are kept for both uses.
+    rows = lines.select("h", "doc_id", F.lit(1).alias("one"), F.lit(None).cast("long").alias("root"))
+    rows = rows.union(roots.select("node", F.lit(None).cast(lines.schema["doc_id"].dataType), F.lit(0), "root"))
+    own = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.sum("one").alias("n"), F.max("root").alias("root")).where("n > 1 or root is not null")
+    own = released(own.select("h", F.coalesce("root", "h").alias("root"), "least", "n"))
     groups = own.groupBy("root").agg(F.min("least").alias("keeper"), F.sum("n").alias("all")).where(F.col("all") > 1)
     return own.join(groups, "root").select("h", "root", "keeper")
 

@@ -302,6 +302,30 @@ def test_lines_of_one_large_bucket(spark):
     assert groups.select("root").distinct().count() == 400 and groups.count() == 800
 
 
+def test_lines_are_worked_on_once(spark):
+    """A line is encoded once for its signature and once for each pair's side, and the members of buckets are counted once."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(1, "a line of text")], "h long, line string")
+    assert plan(lines.signatures(rows)).count("UTF-32") == 1
+    pairs = lines.candidates(lines.bucketed(spark.createDataFrame([(1, 1), (1, 2)], "key long, h long")))
+    assert plan(pairs).count("count(1) windowspec") == 1
+    compared = plan(lines.similar(pairs, rows))
+    assert compared.count("UTF-32") == 2 and "regexp" not in compared
+
+
+def test_lines_of_repeats_and_rare_characters(spark):
+    """Shingles count once however often they stand in a line, and are of characters, not of their units."""
+    tail = "".join(chr(0x1F300 + i) for i in range(120))
+    groups = [
+        ["ab" * 30, "ab" * 45, "ab" * 45 + "a"], ["👍" * 12, "👍" * 400], [tail, tail[:-9], tail + "é"],
+        [tail[::-1]], ["abcdefghij"], ["👍👍👍👍👍👍"], ["x" * 9], ["x" * 9 + "y"],
+    ]
+    texts = [x for g in groups for x in g]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in lines.deduplicated(docs).collect() if r["text"]}
+    assert kept == {texts.index(g[0]) for g in groups}
+
+
 def test_columns_of_the_operators_own_names(spark, rows, benchmark):
     docs = spark.createDataFrame([(1, f"x {rows[1]}", 1, 2, 3, 4, 5, 6, 7), (2, "a line that is here twice\nb", 1, 2, 3, 4, 5, 6, 7), (3, "a line that is here twice", 1, 2, 3, 4, 5, 6, 7)], "doc_id long, text string, _doc int, _id int, _tid int, _cut int, _gone int, _chars int, _rank int")
     assert [tuple(r) for r in decontaminate.clean_documents(docs, benchmark).orderBy("doc_id").collect()] == [tuple(r) for r in docs.where("doc_id > 1").orderBy("doc_id").collect()]
