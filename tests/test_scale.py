@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from heapsift.operators import fields
+from heapsift.operators import fields, graph, summary
+from heapsift.plans.tables import HeapTables, dealt, shuffled
 from heapsift.sources import relational
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,29 @@ def test_rounds_of_ancestors_are_not_worked_out_again(spark):
     assert "Join" not in plan(found)
     expected = {(i, i >> d, d) for i in range(1, 200) for d in range(8) if i >> d}
     assert {tuple(r) for r in found.select("class_id", "ancestor", "depth").collect()} == expected
+
+
+def test_ways_are_worked_out_for_objects_with_a_step_only(spark, monkeypatch):
+    seen = []
+    doubled = graph._doubled
+    monkeypatch.setattr(graph, "_doubled", lambda nodes, *a: seen.append(nodes.count()) or doubled(nodes, *a))
+    # 1 holds 2 alone, and 2 many small objects.
+    rows = [(1, 0, 1000), (2, 1, 990), *[(i, 2, 9) for i in range(3, 103)]]
+    tree = spark.createDataFrame(rows, "obj long, idom long, retained long")
+    assert [tuple(r) for r in graph.descend(tree, spark.createDataFrame([(1,), (7,)], "obj long")).orderBy("start").collect()] == [(1, 2, 990, 1), (7, 7, 9, 0)]
+    assert seen == [3]
+
+
+def test_dealt_tables_join_without_a_shuffle(spark):
+    a, b = (dealt(spark.range(100).select(F.col("id").alias("obj"), (F.col("id") * k).alias(f"x{k}")), "obj", 3) for k in (2, 3))
+    with shuffled(spark, 3):
+        joined = a.join(b, "obj")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+
+
+def test_classes_of_the_tree_need_no_join_by_object(spark):
+    tree = spark.createDataFrame([(8, 0, 1, 16), (16, 0, 2, 24), (24, 0, 2, 24)], "obj long, idom long, class_id long, retained long")
+    none = spark.createDataFrame([], "obj long, class_id long, shallow long")
+    classes = spark.createDataFrame([(1, "A"), (2, "B")], "class_id long, name string")
+    found = summary.biggest_per_class(HeapTables(classes, none, none, none, none), tree)
+    assert sorted(tuple(r) for r in found.collect()) == [("A", 8, 16), ("B", 16, 24)]
