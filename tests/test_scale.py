@@ -51,3 +51,39 @@ def test_classes_of_the_tree_need_no_join_by_object(spark):
     classes = spark.createDataFrame([(1, "A"), (2, "B")], "class_id long, name string")
     found = summary.biggest_per_class(HeapTables(classes, none, none, none, none), tree)
     assert sorted(tuple(r) for r in found.collect()) == [("A", 8, 16), ("B", 16, 24)]
+
+
+def counted(monkeypatch, *modules):
+    """The numbers of rows that are written."""
+    seen = []
+    for name in ("checkpointed", "dealt"):
+        for m in modules:
+            if hasattr(m, name):
+                monkeypatch.setattr(m, name, lambda df, *a, write=getattr(m, name): (out := write(df, *a), seen.append(out.count()))[0])
+    return seen
+
+
+def fan(spark):
+    """1 leads to 2 and 3, these to 4 twice each, 4 back to 1 and to 2,000 others."""
+    rows = [(1, 0, 2), (1, 1, 3), (3, 0, 4), (2, 5, 4), (2, 7, 4), (3, 1, 4), (4, 0, 1), *[(4, i, i) for i in range(10, 2010)]]
+    return spark.createDataFrame([(*r, f"f{r[1]}", None) for r in rows], "src long, ord long, dst long, label string, elem long")
+
+
+def test_ways_to_one_object_take_one_walk_among_what_leads_to_it(spark, monkeypatch):
+    edges, roots = fan(spark), spark.createDataFrame([(1,)], "obj long")
+    written = counted(monkeypatch, graph)
+    assert graph.k_paths(edges, roots, 4, 3) == [[1, 2, 4], [1, 3, 4]]
+    assert sum(written) < 50
+    assert graph.k_paths(edges, roots, 1, 3) == [[1]] and graph.k_paths(edges, roots, 5, 3) == []
+    assert graph.k_paths(edges, roots, 10, 3) == [[1, 2, 4, 10]]
+
+
+def test_large_frontiers_stay_with_dealt_edges(spark, monkeypatch):
+    """The same walk, all of it and with an end, where no frontier is small."""
+    monkeypatch.setattr(graph, "FEW", -1)
+    monkeypatch.setattr(graph, "PART", 1000)
+    edges, roots = fan(spark), spark.createDataFrame([(1,), (1,)], "obj long")
+    found = {r.obj: (r.parent, r.level) for r in graph.reach(edges, roots).collect()}
+    assert found == {1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (2, 2)} | {i: (4, 3) for i in range(10, 2010)}
+    assert graph.k_paths(edges, roots, 4, 1) == [[1, 2, 4]]
+    assert graph.k_paths(edges, roots, 4, 2) == [[1, 2, 4], [1, 3, 4]]
