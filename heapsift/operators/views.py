@@ -113,8 +113,8 @@ def stacks(traces: DataFrame, texts: DataFrame) -> DataFrame:
 
 def path_keys(tables: HeapTables, paths: DataFrame, threads: DataFrame | None = None) -> DataFrame:
     """target, key: the way from a root as text without addresses and indices, so that dumps can be compared. paths: as root_paths() gives; threads: obj, name."""
-    named = tables.objects.join(tables.classes.select("class_id", "name"), "class_id").select("obj", X.kind_text(F.col("kind"), F.col("name")).alias("what"))
-    rows = paths.join(named, "obj")
+    rows = paths.join(tables.objects.select("obj", "class_id", "kind"), "obj").join(tables.classes.select("class_id", "name"), "class_id")
+    rows = rows.withColumn("what", X.kind_text(F.col("kind"), F.col("name"))).drop("class_id", "kind", "name")
     what: Column = F.col("what")
     if threads is not None:
         rows = rows.join(threads.where("name != ''").select("obj", F.col("name").alias("thread")), "obj", "left")

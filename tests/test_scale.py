@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from heapsift.operators import fields, graph, summary
+from heapsift.operators import fields, graph, summary, views
+from heapsift.plans.heap import Heap
 from heapsift.plans.tables import HeapTables, dealt, shuffled
 from heapsift.sources import relational
 
@@ -87,3 +88,22 @@ def test_large_frontiers_stay_with_dealt_edges(spark, monkeypatch):
     assert found == {1: (None, 0), 2: (1, 1), 3: (1, 1), 4: (2, 2)} | {i: (4, 3) for i in range(10, 2010)}
     assert graph.k_paths(edges, roots, 4, 1) == [[1, 2, 4]]
     assert graph.k_paths(edges, roots, 4, 2) == [[1, 2, 4], [1, 3, 4]]
+
+
+def test_ways_to_many_objects_take_no_walk_over_all(spark, monkeypatch):
+    edges, roots = fan(spark), spark.createDataFrame([(1,)], "obj long")
+    objects = spark.createDataFrame([(i, 1, "instance", 0, 16) for i in (1, 2, 3, 4)], "obj long, class_id long, kind string, len long, shallow long")
+    classes = spark.createDataFrame([(1, "N", None, 0)], "class_id long, name string, super_id long, loader_id long")
+    h = Heap(HeapTables(classes, objects, edges, roots, spark.createDataFrame([], "src long, dst long, ref_kind string")))
+    targets = spark.createDataFrame([(4,), (3,), (5,)], "obj long")
+    expected = [(3, 0, 1, None), (3, 1, 3, "f1"), (4, 0, 1, None), (4, 1, 2, "f0"), (4, 2, 4, "f5")]
+    rows = lambda df: sorted((r.target, r.step, r.obj, r.label) for r in df.collect())
+    written = counted(monkeypatch, graph)
+    paths = h.paths(targets)
+    assert rows(paths) == expected and sum(written) < 60
+    assert {r.target: r.key for r in views.path_keys(h.tables, paths).collect()} == {3: "N .f1 N", 4: "N .f0 N .f5 N"}
+    # Many targets: the walk goes on from the roots until it has found them, and no further.
+    written.clear()
+    monkeypatch.setattr(graph, "FEW", 2)
+    two = targets.where("obj > 2 and obj < 5").union(roots)
+    assert rows(h.paths(two)) == [(1, 0, 1, None), *expected] and sum(written) < 60
